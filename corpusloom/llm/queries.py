@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import neighbours
+from corpusloom.llm import mixing, neighbours, ranking, residue, tokens
 from corpusloom.plans.registry import Registry, table
+from corpusloom.sources.shared import written
 
 PAIRS = neighbours.Search(k=10, min_cosine=0.9)
 #: One vector in a hundred is looked up here, so each may visit far more leaves.
@@ -24,3 +25,34 @@ def register(reg: Registry) -> None:
 
     reg.add("p1_found", p1_found)
     reg.add("p1_knn", p1_knn)
+
+    def p3_scores(s, d):
+        return ranking.candidate_scores(table(s, d, "ranking_features"), table(s, d, "mmr_selections"), table(s, d, "feature_catalogue"))
+
+    reg.add("p3_found", lambda s, d: ranking.first_candidates(p3_scores(s, d)).select("request_identity", "document_identity"))
+
+    def p3_ranking(s, d):
+        rows = ranking.ideal_point_ranking(p3_scores(s, d))
+        return rows.select("request_identity", "document_identity", F.col("rank").cast("long").alias("rank"), F.round("closeness", 6).alias("closeness"))
+
+    reg.add("p3_ranking", p3_ranking)
+
+    reg.add("p6_ids", lambda s, d: tokens.encode(table(s, d, "documents")))
+    reg.add("p7_found", lambda s, d: mixing.unreachable(tokens.count_tokens(table(s, d, "documents")), table(s, d, "mix_targets")))
+
+    def p7_parts(s, d):
+        counts = written(tokens.count_tokens(table(s, d, "documents")), "token-counts")
+        return counts, mixing.source_rates(counts, table(s, d, "mix_targets"))
+
+    reg.add("p7_mix", lambda s, d: mixing.mix(*p7_parts(s, d)))
+    reg.add("p7_shares", lambda s, d: mixing.reached_shares(*p7_parts(s, d)))
+
+    reg.add("p8_found", lambda s, d: residue.residue_documents(table(s, d, "documents")))
+    reg.add("p8_clean", lambda s, d: residue.without_residue(table(s, d, "documents")).select("doc_id", "source", "lang"))
+
+    def p8_templates(s, d):
+        cut = written(residue.segments(table(s, d, "documents")).select("doc_id", "leaf", "message"), "segments")
+        templates = residue.mine_templates(cut)
+        return templates.join(residue.classify(cut, templates), "leaf").select("template", "documents", "segments", "says", F.round("company", 6).alias("company"), "residue")
+
+    reg.add("p8_templates", p8_templates)
