@@ -20,11 +20,6 @@ STOP_WORDS = (
     "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with"
 ).split()
 ARTICLES = "l m t qu n s j d c jusqu quoiqu lorsqu puisqu".split()
-STOP_BY_LANGUAGE = {
-    "en": STOP_WORDS,
-    "fr": "au aux avec ce ces dans de des du elle en et eux il je la le les leur lui ma mais me même mes moi mon ne nos notre nous on ou par pas pour qu que qui sa se ses son sur ta te tes toi ton tu un une vos votre vous".split(),
-    "de": "aber als am an auch auf aus bei bin bis bist da dadurch daher darum das dass dein deine dem den der des dessen deshalb die dies dieser dieses doch dort du durch ein eine einem einen einer eines er es euer eure für hatte hatten hattest hattet hier hinter ich ihr ihre im in ist ja jede jedem jeden jeder jedes jener jenes jetzt kann kannst können könnt machen mein meine mit muss musst müssen müsst nach nachdem nein nicht nun oder seid sein seine sich sie sind soll sollen sollst sollt sonst soweit sowie und unser unsere unter vom von vor wann warum was weiter weitere wenn wer werde werden werdet weshalb wie wieder wieso wir wird wirst wo woher wohin zu zum zur über".split(),
-}
 # --- end of fixed values ---
 
 
@@ -214,11 +209,14 @@ def rejoin_hyphenated(tokens: Column) -> Column:
 def shingles(lo: int = 2, hi: int = 2, unigrams: bool = True, sep: str = " ") -> Tokens:
     """All tokens first, then the shingles of each size."""
 
+    def of_size(tokens: Column, n: int) -> Column:
+        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), sep))
+
     def out(tokens: Column) -> Column:
         parts = [tokens] if unigrams else []
         for n in range(lo, hi + 1):
-            starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-            parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, F.lit(n)), sep)))
+            parts.append(of_size(tokens, n))
         return F.concat(*parts)
 
     return out
@@ -256,40 +254,50 @@ def unique(tokens: Column) -> Column:
     return F.array_distinct(tokens)
 
 
-def suffix_stemmer(steps: Sequence[Sequence[tuple[str, str]]], guard: int, fold: dict[str, str] | None = None, drop_last: str = "", shortest: int = 3) -> Callable[[Column], Column]:
-    """In each step the first suffix that leaves at least ``guard`` letters is replaced. Words up to ``shortest`` letters stay."""
+def suffix_stemmer(
+    steps: Sequence[Sequence[tuple[str, str]]], guard: int, fold: dict[str, str] | None = None, drop_last: str = "", drop_above: int = 2, shortest: int = 3
+) -> Callable[[Column], Column]:
+    """In each step the first ending that leaves at least ``guard`` letters is replaced. Words up to ``shortest`` letters stay.
+
+    Of two endings that can fit one word the longer stands first in every table, so a reluctant prefix finds the first.
+    Each step is a chain of replacements of one value; an ending that has been replaced is marked, so that no other
+    rule of its step fits.
+    """
+    for rules in steps:
+        endings = [a for a, _ in rules]
+        if any(b.endswith(a) and a != b for i, a in enumerate(endings) for b in endings[i + 1 :]):
+            raise ValueError("a longer ending stands behind a shorter one that it ends with")
 
     def stem(word: Column) -> Column:
         out = map_characters(word, fold) if fold else word
         for rules in steps:
-            # one alternation, tried in order; endings are anchored, so each rule is one branch
-            choice = None
-            for suffix, by in rules:
-                fits = out.endswith(suffix) & (F.length(out) >= len(suffix) + guard)
-                value = F.concat(F.substr(out, F.lit(1), F.length(out) - len(suffix)), F.lit(by))
-                choice = F.when(fits, value) if choice is None else choice.when(fits, value)
-            out = choice.otherwise(out)
+            changed = [(a, b) for a, b in rules if b]
+            for a, b in changed:
+                out = F.regexp_replace(out, f"^(.{{{guard},}}){a}$", f"$1\u0001{b}")
+            out = F.regexp_replace(out, f"^([^\u0001]{{{guard},}}?)(?:{'|'.join(a for a, b in rules if not b)})$", "$1")
+            if changed:
+                out = F.translate(out, "\u0001", "")
         if drop_last:
-            out = F.when((F.length(out) > 2) & out.endswith(drop_last), F.substr(out, F.lit(1), F.length(out) - 1)).otherwise(out)
+            out = F.regexp_replace(out, f"^(.{{{drop_above},}}){drop_last}$", "$1")
         return F.when(F.length(word) <= shortest, word).otherwise(out)
 
     return stem
 
 
-def _rules(text: str) -> list[tuple[str, str]]:
+def ending_rules(text: str) -> list[tuple[str, str]]:
     return [(a, b) for a, _, b in (w.partition("=") for w in text.split())]
 
 
 # --- fixed values: endings by language, in the order they are tried; a=b replaces a by b ---
 FRENCH = [
-    _rules("issements issement ements ement ations ation euses euse eurs eur ités ité ives ive ifs if aux=al"),
-    _rules("issent issons issez irent eront erons erez ent ons ez er es"),
+    ending_rules("issements issement ements ement ations ation euses euse eurs eur ités ité ives ive ifs if aux=al"),
+    ending_rules("issent issons issez irent eront erons erez ent ons ez er es"),
 ]
 GERMAN = [
-    _rules("erungen erung ungen ung heiten heits heit keiten keit schaften schaft ismus isten ist"),
-    _rules("lichen liche licher lichem liches lich ischen ische ischer ischem isches isch igen ige iger igem iges ig"),
-    _rules("test etet est tet et te nd"),
-    _rules("innen erns ern ens ers en em es er e s"),
+    ending_rules("erungen erung ungen ung heiten heits heit keiten keit schaften schaft ismus isten ist"),
+    ending_rules("lichen liche licher lichem liches lich ischen ische ischer ischem isches isch igen ige iger igem iges ig"),
+    ending_rules("test etet est tet et te nd"),
+    ending_rules("innen erns ern ens ers en em es er e s"),
 ]
 # --- end of fixed values ---
 stem_french = suffix_stemmer(FRENCH, guard=2, drop_last="e")
@@ -312,10 +320,5 @@ ANALYSERS: dict[str, Tokens] = {
     "whitespace": whitespace,
     "keyword": keyword,
     "icu": analyser(icu_words, lowercase, stop()),
-    "en": standard,
-    "fr": analyser(words, lowercase, elision(), stop(STOP_BY_LANGUAGE["fr"]), each(stem_french)),
-    "de": analyser(words, lowercase, stop(STOP_BY_LANGUAGE["de"]), each(stem_german)),
-    "zh": cjk_bigrams,
-    "ja": cjk_bigrams,
-    "ko": cjk_bigrams,
+    "cjk": cjk_bigrams,
 }

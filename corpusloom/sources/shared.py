@@ -80,3 +80,8 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
 def delete(spark: SparkSession, path: str) -> None:
     fs, p, _ = _fs(spark, path)
     fs.delete(p, True)
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    fs, p, _ = _fs(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isFile()
