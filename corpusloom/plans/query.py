@@ -882,8 +882,15 @@ class MoreLikeThis(Query):
 
     def frame(self, index: Index, similarity) -> DataFrame:
         n = index.field(self.field).n_docs
-        mine = index.postings.where((F.col("field") == self.field) & (F.col("doc_id") == self.doc_id) & (F.col("tf") >= self.min_tf) & (F.length("term") >= self.min_length))
-        known = mine.join(index.term_stats, ["field", "term"]).where(F.col("df") >= self.min_df)
+        if self.field in index.sources:  # one document is analysed again: postings lie by term
+            column, analyse = index.sources[self.field]
+            tokens = index.docs.where(F.col("doc_id") == self.doc_id).select(F.explode(analyse(F.col(column))).alias("term"))
+            own = tokens.groupBy("term").agg(F.count("*").alias("tf"))
+        else:
+            own = index.postings.where((F.col("field") == self.field) & (F.col("doc_id") == self.doc_id)).select("term", "tf")
+        own = own.where((F.col("tf") >= self.min_tf) & (F.length("term") >= self.min_length))
+        stats = index.term_stats.where(F.col("field") == self.field)
+        known = stats.join(own, "term").where(F.col("df") >= self.min_df)
         if self.max_df is not None:
             known = known.where(F.col("df") <= self.max_df)
         telling = known.withColumn("w", F.col("tf") * F.log(F.lit(float(n)) / (F.col("df") + 1))).orderBy(F.desc("w"), "term").limit(self.max_terms).collect()

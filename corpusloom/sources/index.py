@@ -12,13 +12,13 @@ documents, the mean length too; a document without tokens has length 0.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.analysis import Tokens
-from corpusloom.sources.shared import scratch_path
+from corpusloom.sources.shared import delete, scratch_path, spread
 
 POSTINGS = "term string, doc_id long, tf long, positions array<int>, dl long, field string"
 TERM_STATS = "term string, df long, cf long, field string"
@@ -42,6 +42,8 @@ class Index:
     postings: DataFrame
     term_stats: DataFrame
     stats: dict[str, FieldStats]
+    #: field -> (stored column, analyser), where the index was opened with them
+    sources: dict[str, tuple[str, Tokens]] = field(default_factory=dict)
 
     def field(self, name: str) -> FieldStats:
         return self.stats.get(name, FieldStats(0, 0))
@@ -52,26 +54,29 @@ class Index:
         return {r.term: (r.df, r.cf) for r in rows}
 
 
-def postings_of(docs: DataFrame, field: str, column: str, analyse: Tokens) -> DataFrame:
+def postings_of(docs: DataFrame, name: str, column: str, analyse: Tokens) -> DataFrame:
     """The postings of one field. Null and empty texts have none."""
     tokens = docs.where(F.col("doc_id").isNotNull()).select("doc_id", analyse(F.col(column)).alias("tokens"))
     rows = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.posexplode("tokens").alias("pos", "term"))
     found = rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"), F.first("dl").alias("dl"))
-    return found.select("term", "doc_id", "tf", "positions", "dl", F.lit(field).alias("field"))
+    return found.select("term", "doc_id", "tf", "positions", "dl", F.lit(name).alias("field"))
 
 
 def build(docs: DataFrame, fields: dict[str, tuple[str, Tokens]], path: str | None = None) -> Index:
     """Write the index of the given fields (name -> column and analyser) and open it."""
     spark = docs.sparkSession
     path = path or scratch_path(spark, "index")
+    docs = spread(docs)
     docs.write.parquet(f"{path}/docs")
-    for field, (column, analyse) in fields.items():
-        rows = postings_of(docs, field, column, analyse)
-        rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").drop("field").write.parquet(f"{path}/postings/field={field}")
-        written = spark.read.schema(POSTINGS).parquet(f"{path}/postings/field={field}")
-        stats = written.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-        stats.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/term_stats/field={field}")
-    return open_index(spark, path)
+    for name, (column, analyse) in fields.items():
+        # written once unsorted, as finding the ranges reads the rows a second time and analysis is the dear part
+        postings_of(docs, name, column, analyse).drop("field").write.parquet(f"{path}/unsorted/{name}")
+        rows = spark.read.schema(POSTINGS).parquet(f"{path}/unsorted/{name}").drop("field")
+        rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings/field={name}")
+        stats = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+        stats.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/term_stats/field={name}")
+        delete(spark, f"{path}/unsorted/{name}")
+    return replace(open_index(spark, path), sources=dict(fields))
 
 
 def open_index(spark: SparkSession, path: str) -> Index:

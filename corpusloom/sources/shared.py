@@ -85,3 +85,14 @@ def delete(spark: SparkSession, path: str) -> None:
 def is_file(spark: SparkSession, path: str) -> bool:
     fs, p, _ = _fs(spark, path)
     return fs.exists(p) and fs.getFileStatus(p).isFile()
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A scanned table in at least as many partitions as there are cores.
+
+    A table of few files or row groups would otherwise be read, and all that follows computed, by few tasks. Where the
+    scan already has enough partitions, as any large table does, nothing is shuffled. Only for frames that are scans.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    scanned = table._jdf.queryExecution().toRdd().getNumPartitions()
+    return table if scanned >= cores else table.repartition(cores)
