@@ -56,7 +56,9 @@ class Index:
 
 def postings_of(docs: DataFrame, name: str, column: str, analyse: Tokens) -> DataFrame:
     """The postings of one field. Null and empty texts have none."""
-    tokens = docs.where(F.col("doc_id").isNotNull()).select("doc_id", analyse(F.col(column)).alias("tokens"))
+    # placed by document once, as text, so that grouping the exploded tokens by (document, term) needs no shuffle
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", column).repartition("doc_id")
+    tokens = texts.select("doc_id", analyse(F.col(column)).alias("tokens"))
     rows = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.posexplode("tokens").alias("pos", "term"))
     found = rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"), F.first("dl").alias("dl"))
     return found.select("term", "doc_id", "tf", "positions", "dl", F.lit(name).alias("field"))
