@@ -220,6 +220,10 @@ def search_shard(ids: np.ndarray, rows: np.ndarray, member: np.ndarray, asks: np
         q_id, n_id, c_all = np.repeat(ids[q_row], many), ids[n_row], np.repeat(c_rep, many)
         other = q_id != n_id
         q_id, n_id, c_all = q_id[other], n_id[other], c_all[other]
+        # an id that asks with several rows has each neighbour once, with its best cosine
+        once = np.lexsort((-c_all, n_id, q_id))
+        once = once[np.r_[True, (np.diff(q_id[once]) != 0) | (np.diff(n_id[once]) != 0)]] if len(once) else once
+        q_id, n_id, c_all = q_id[once], n_id[once], c_all[once]
         rank = np.lexsort((n_id, -c_all, q_id))
         q_id, n_id, c_all = q_id[rank], n_id[rank], c_all[rank]
         first_k = np.arange(len(q_id)) - np.searchsorted(q_id, q_id) < s.k
