@@ -6,13 +6,18 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import mixing, neighbours, ranking, residue, tokens
 from corpusloom.plans.registry import Registry, table
-from corpusloom.sources.shared import written
+from corpusloom.sources.shared import spread, written
 
 PAIRS = neighbours.Search(k=10, min_cosine=0.9)
 #: One vector in a hundred is looked up here, so each may visit far more leaves.
 KNN = neighbours.Search(k=10, probes=400)
 
 
+def _documents(s, d):
+    """The corpus, read by as many tasks as there are cores even if it is one small file."""
+    return spread(table(s, d, "documents"))
+
+
 def register(reg: Registry) -> None:
     """Add this module's queries."""
 
@@ -37,21 +42,21 @@ def register(reg: Registry) -> None:
 
     reg.add("p3_ranking", p3_ranking)
 
-    reg.add("p6_ids", lambda s, d: tokens.encode(table(s, d, "documents")))
-    reg.add("p7_found", lambda s, d: mixing.unreachable(tokens.count_tokens(table(s, d, "documents")), table(s, d, "mix_targets")))
+    reg.add("p6_ids", lambda s, d: tokens.encode(_documents(s, d)))
+    reg.add("p7_found", lambda s, d: mixing.unreachable(tokens.count_tokens(_documents(s, d)), table(s, d, "mix_targets")))
 
     def p7_parts(s, d):
-        counts = written(tokens.count_tokens(table(s, d, "documents")), "token-counts")
+        counts = written(tokens.count_tokens(_documents(s, d)), "token-counts")
         return counts, mixing.source_rates(counts, table(s, d, "mix_targets"))
 
     reg.add("p7_mix", lambda s, d: mixing.mix(*p7_parts(s, d)))
     reg.add("p7_shares", lambda s, d: mixing.reached_shares(*p7_parts(s, d)))
 
-    reg.add("p8_found", lambda s, d: residue.residue_documents(table(s, d, "documents")))
-    reg.add("p8_clean", lambda s, d: residue.without_residue(table(s, d, "documents")).select("doc_id", "source", "lang"))
+    reg.add("p8_found", lambda s, d: residue.residue_documents(_documents(s, d)))
+    reg.add("p8_clean", lambda s, d: residue.without_residue(_documents(s, d)).select("doc_id", "source", "lang"))
 
     def p8_templates(s, d):
-        cut = written(residue.segments(table(s, d, "documents")).select("doc_id", "leaf", "message"), "segments")
+        cut = written(residue.segments(_documents(s, d)).select("doc_id", "leaf", "message"), "segments")
         templates = residue.mine_templates(cut)
         return templates.join(residue.classify(cut, templates), "leaf").select("template", "documents", "segments", "says", F.round("company", 6).alias("company"), "residue")
 
