@@ -7,8 +7,8 @@ nearest branches are descended in turn until ``probes`` leaves have been visited
 are reranked by exact cosine. All queries of a task move through the queue in step (one array row each), and leaves are
 scored as blocks: the queries that visit a leaf times its members, one matrix product.
 
-Distribution. A shard holds at most about ``shard_rows`` vectors of one field and is searched by one task. Fields that
-are larger are cut by a routing tree of the same kind, fitted on a bounded sample (``sample_rows`` for each of its
+Distribution. A shard holds at most about ``shard_values`` numbers (rows times dimensions, 32 MB) of one field and is
+searched by one task, which holds them and what is looked up in them once. Fields that are larger are cut by a routing tree of the same kind, fitted on a bounded sample (``sample_rows`` for each of its
 cells); every vector is a member of one shard, and is looked up in the ``routes`` shards that are nearest by the same
 priority. A hot field thus costs more shards, not a larger task. Only links travel to the final merge.
 
@@ -37,7 +37,7 @@ class Search:
     """What to look for and how hard.
 
     k: neighbours of each vector. min_cosine: links below it aren't wanted (None: all are). trees, leaf_rows, probes:
-    the forest of a shard, and the leaves a query visits over all trees. shard_rows, routes, sample_rows: see above.
+    the forest of a shard, and the leaves a query visits over all trees. shard_values, routes, sample_rows: see above.
     """
 
     k: int = 10
@@ -45,19 +45,59 @@ class Search:
     trees: int = 6
     leaf_rows: int = 192
     probes: int = 30
-    shard_rows: int = 1 << 17
+    shard_values: int = 1 << 23
     routes: int = 4
     sample_rows: int = 64
     seed: int = 7
 
 
-def _unit(lists: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Normalised rows as float32, and which rows are usable; all lists have ``dims`` values."""
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
-    norm = np.sqrt(np.einsum("ij,ij->i", flat, flat))
-    good = np.isfinite(norm) & (norm > 0)
-    flat[good] /= norm[good, None]
-    return flat, good
+BLOCK = 1 << 13
+
+
+def _unit(lists: pa.Array | pa.ChunkedArray, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised rows as float32, and which rows are usable (others are all zero); all lists have ``dims`` values.
+
+    Norms are taken in double precision, block by block, so that only the result is held whole.
+    """
+    out, good, at = np.zeros((len(lists), dims), np.float32), np.zeros(len(lists), bool), 0
+    for chunk in lists.chunks if isinstance(lists, pa.ChunkedArray) else [lists]:
+        values = chunk.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+        for lo in range(0, len(values), BLOCK):
+            x = values[lo : lo + BLOCK].astype(np.float64)
+            norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+            ok = np.isfinite(norm) & (norm > 0)
+            rows = slice(at + lo, at + lo + len(x))
+            good[rows] = ok
+            out[rows][ok] = x[ok] / norm[ok, None]
+        at += len(values)
+    return out, good
+
+
+def _blocks(rows: np.ndarray, take: np.ndarray):
+    """Selected rows, a block at a time."""
+    for lo in range(0, len(take), BLOCK):
+        yield rows[take[lo : lo + BLOCK]]
+
+
+def _identities(rows: np.ndarray) -> np.ndarray:
+    """128-bit hashes of rows rounded to six digits: equal vectors have equal hashes."""
+    odd = np.random.default_rng(11).integers(1, 1 << 63, (rows.shape[1], 2), np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.empty((len(rows), 2), np.uint64)
+    for lo in range(0, len(rows), BLOCK):
+        words = np.ascontiguousarray(np.round(rows[lo : lo + BLOCK], 6) + np.float32(0)).view(np.uint32).astype(np.uint64)
+        mixed = (words ^ (words >> np.uint64(15))) * np.uint64(0x9E3779B97F4A7C15)
+        for h in range(2):
+            out[lo : lo + BLOCK, h] = ((mixed ^ (mixed >> np.uint64(29))) * odd[:, h]).sum(axis=1, dtype=np.uint64)
+    return out.view(np.dtype((np.void, 16))).ravel()
+
+
+def _exact(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of pairs of rows in double precision."""
+    out = np.empty(len(a))
+    for lo in range(0, len(a), BLOCK):
+        x, y = (rows[i[lo : lo + BLOCK]].astype(np.float64) for i in (a, b))
+        out[lo : lo + BLOCK] = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
+    return np.minimum(out, 1.0)
 
 
 class Tree:
@@ -67,18 +107,18 @@ class Tree:
         self.directions, self.cuts, self.depth = directions, cuts, len(cuts)
 
     @classmethod
-    def fit(cls, rows: np.ndarray, depth: int, rng: np.random.Generator) -> tuple["Tree", np.ndarray]:
-        """The tree, and the leaf of every row it was fitted on."""
+    def fit(cls, rows: np.ndarray, take: np.ndarray, depth: int, rng: np.random.Generator) -> tuple["Tree", np.ndarray]:
+        """The tree over the selected rows, and the leaf of each of them."""
         directions = rng.standard_normal((rows.shape[1], depth)).astype(np.float32)
         directions /= np.linalg.norm(directions, axis=0, keepdims=True)
-        at = rows @ directions
-        node, cuts = np.zeros(len(rows), np.int64), []
+        at = np.concatenate([x @ directions for x in _blocks(rows, take)]) if len(take) else np.zeros((0, depth), np.float32)
+        node, cuts = np.zeros(len(take), np.int64), []
         for level in range(depth):
             p = at[:, level]
             order = np.lexsort((p, node))
             bounds = np.searchsorted(node[order], np.arange((1 << level) + 1))
             size = np.diff(bounds)
-            middle = np.clip(bounds[:-1] + size // 2, 0, max(0, len(rows) - 1))
+            middle = np.clip(bounds[:-1] + size // 2, 0, max(0, len(take) - 1))
             before = np.clip(middle - 1, 0, None)
             sorted_p = p[order]
             cut = np.where(size > 1, (sorted_p[middle] + sorted_p[before]) / 2, 0.0).astype(np.float32)
@@ -139,11 +179,10 @@ def _top(q: np.ndarray, m: np.ndarray, cosine: np.ndarray, ids: np.ndarray, k: i
     return order[rank < k]
 
 
-def search_shard(ids: np.ndarray, rows: np.ndarray, member: np.ndarray, asks: np.ndarray, s: Search, dims: int):
+def search_shard(ids: np.ndarray, rows: np.ndarray, member: np.ndarray, asks: np.ndarray, s: Search):
     """Yield (query_id, neighbour_id, cosine) arrays of one shard. member: rows of the shard; asks: rows to look up."""
-    key = np.ascontiguousarray(np.round(rows, 6).astype(np.float32) + np.float32(0))
-    _, first, copy_of = np.unique(key.view(np.dtype((np.void, key.dtype.itemsize * dims))).ravel(), return_index=True, return_inverse=True)
-    exact, unit = rows[first], rows[first].astype(np.float32)
+    # row: one of the rows of each distinct vector; rows are only ever read through it, so they are held once
+    _, row, copy_of = np.unique(_identities(rows), return_index=True, return_inverse=True)
     copy_of = copy_of.ravel()
 
     # members of each distinct vector, ids ascending; each id once; beyond k+1 none can be among the first k
@@ -155,7 +194,7 @@ def search_shard(ids: np.ndarray, rows: np.ndarray, member: np.ndarray, asks: np
     owner = copy_of[order]
     place = np.arange(len(order)) - np.searchsorted(owner, owner)
     order, owner = order[place <= s.k], owner[place <= s.k]
-    start = np.searchsorted(owner, np.arange(len(first) + 1))
+    start = np.searchsorted(owner, np.arange(len(row) + 1))
     size = np.diff(start)
 
     stored = np.flatnonzero(size > 0)
@@ -165,7 +204,7 @@ def search_shard(ids: np.ndarray, rows: np.ndarray, member: np.ndarray, asks: np
     lowest = ids[order[np.minimum(start[:-1], len(order) - 1)]]
     depth = max(0, math.ceil(math.log2(len(stored) / s.leaf_rows))) if len(stored) > s.leaf_rows else 0
     rng = np.random.default_rng(s.seed)
-    fitted = [Tree.fit(unit[stored], depth, rng) for _ in range(s.trees if depth else 1)]
+    fitted = [Tree.fit(rows, row[stored], depth, rng) for _ in range(s.trees if depth else 1)]
     trees = [t for t, _ in fitted]
     leaf_of = np.concatenate([leaf + i * (1 << depth) for i, (_, leaf) in enumerate(fitted)])
     by_leaf = np.argsort(leaf_of, kind="stable")
@@ -178,7 +217,7 @@ def search_shard(ids: np.ndarray, rows: np.ndarray, member: np.ndarray, asks: np
     block = 1 << 15
     for lo in range(0, len(asked), block):
         part = asked[lo : lo + block]
-        visits = np.concatenate([best_leaves(trees, unit[part[i : i + 2048]], s.probes) for i in range(0, len(part), 2048)])
+        visits = np.concatenate([best_leaves(trees, rows[row[part[i : i + 2048]]], s.probes) for i in range(0, len(part), 2048)])
         who, slot = np.nonzero(visits >= 0)
         leaf = visits[who, slot]
         order_v = np.argsort(leaf, kind="stable")
@@ -189,7 +228,7 @@ def search_shard(ids: np.ndarray, rows: np.ndarray, member: np.ndarray, asks: np
             members = by_leaf[leaf_start[leaf[a]] : leaf_start[leaf[a] + 1]]
             if not len(members):
                 continue
-            scores = unit[part[who[a:b]]] @ unit[members].T
+            scores = rows[row[part[who[a:b]]]] @ rows[row[members]].T
             if s.min_cosine is not None:
                 i, j = np.nonzero(scores >= s.min_cosine - 1e-5)
             else:
@@ -205,7 +244,7 @@ def search_shard(ids: np.ndarray, rows: np.ndarray, member: np.ndarray, asks: np
         # the vector's own copies are its first neighbours if there are any; one place more, for itself
         keep = _top(q, m, c, lowest, s.k + 1)
         q, m = part[q[keep]], m[keep]
-        c = np.minimum(1.0, np.einsum("ij,ij->i", exact[q], exact[m]))
+        c = _exact(rows, row[q], row[m])
         c[q == m] = 1.0
         if s.min_cosine is not None:
             near = c >= s.min_cosine
@@ -253,14 +292,14 @@ def _plan(rows: DataFrame, s: Search) -> dict[str, tuple[int, int, Tree | None]]
     several shards a sample of sample_rows vectors for each shard.
     """
     sizes = {r.field_key: (r.dims, r.n) for r in rows.groupBy("field_key", "dims").agg(F.count("*").alias("n")).collect()}
-    large = {k: math.ceil(math.log2(n / s.shard_rows)) for k, (_, n) in sizes.items() if n > s.shard_rows}
+    large = {k: math.ceil(math.log2(n * d / s.shard_values)) for k, (d, n) in sizes.items() if n * d > s.shard_values}
     trees: dict[str, Tree] = {}
     for key, depth in large.items():
         dims, n = sizes[key]
         want = s.sample_rows << depth
         sample = rows.where(F.col("field_key") == key).sample(min(1.0, 1.2 * want / n), seed=s.seed).select("query_vector").limit(2 * want).toArrow()
-        unit, good = _unit(sample.column(0).combine_chunks(), dims)
-        trees[key], _ = Tree.fit(unit[good].astype(np.float32), depth, np.random.default_rng(s.seed + 1))
+        unit, good = _unit(sample.column(0), dims)
+        trees[key], _ = Tree.fit(unit, np.flatnonzero(good), depth, np.random.default_rng(s.seed + 1))
     return {k: (dims, n, trees.get(k)) for k, (dims, n) in sizes.items()}
 
 
@@ -308,7 +347,7 @@ def links(vectors: DataFrame, fields: DataFrame, s: Search, asks_sql: str = "tru
                     tree = trees[key]
                     mine = batch.filter(pa.array(keys == key))
                     unit, good = _unit(mine.column("query_vector"), dims_of[key])
-                    mine, unit = mine.filter(pa.array(good)), unit[good].astype(np.float32)
+                    mine, unit = mine.filter(pa.array(good)), unit[good]
                     if not len(unit):
                         continue
                     to = best_leaves([tree], unit, min(s.routes, 1 << tree.depth))
@@ -328,9 +367,9 @@ def links(vectors: DataFrame, fields: DataFrame, s: Search, asks_sql: str = "tru
 
     def look_up(table: pa.Table) -> pa.Table:
         dims = table.column("dims")[0].as_py()
-        unit, good = _unit(table.column("query_vector").combine_chunks(), dims)
-        ids, home, asks = (table.column(c).to_numpy()[good] for c in ("query_id", "home", "asks"))
-        found = list(search_shard(ids, unit[good], home, asks, s, dims))
+        unit, good = _unit(table.column("query_vector"), dims)
+        ids, home, asks = (table.column(c).to_numpy() for c in ("query_id", "home", "asks"))
+        found = list(search_shard(ids, unit, home & good, asks & good, s))
         parts = zip(*found) if found else ([], [], [])
         return pa.Table.from_arrays([pa.array(np.concatenate(p) if len(p) else [], t) for p, t in zip(parts, _LINK.types)], schema=_LINK)
 

@@ -30,7 +30,7 @@ def _clustered(n, dims=8, seed=0):
     return [(i, (rng.uniform(0.01, 100) * (centres[i % len(centres)] + 0.1 * rng.standard_normal(dims))).tolist()) for i in range(n)]
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_rows": 100}, {"leaf_rows": 20, "probes": 60}])
+@pytest.mark.parametrize("options", [{}, {"shard_values": 800}, {"leaf_rows": 20, "probes": 60}])
 def test_pairs_equal_brute_force(frames, rows, options):
     data = _clustered(360)
     got = rows(N.similar_pairs(*frames([(q, "i", "v", v) for q, v in data]), N.Search(k=10, min_cosine=0.9, **options)))
