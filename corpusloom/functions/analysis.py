@@ -2,7 +2,7 @@
 
 A tokeniser takes a string column and gives array<string>; a token filter takes and gives array<string>. A position is
 an index in the final array, as a dropped token leaves no hole. All of it runs in the JVM; only stemmers with long rule
-tables run in Python, on distinct terms (see ``stemming``). A null text gives a null array.
+tables run in Python, on distinct terms (see ``stemming``). A null text gives no tokens (a null or an empty array).
 """
 
 from __future__ import annotations
