@@ -10,7 +10,9 @@ scored as blocks: the queries that visit a leaf times its members, one matrix pr
 Distribution. A shard holds at most about ``shard_values`` numbers (rows times dimensions, 32 MB) of one field and is
 searched by one task, which holds them and what is looked up in them once. Fields that are larger are cut by a routing tree of the same kind, fitted on a bounded sample (``sample_rows`` for each of its
 cells); every vector is a member of one shard, and is looked up in the ``routes`` shards that are nearest by the same
-priority. A hot field thus costs more shards, not a larger task. Only links travel to the final merge.
+priority. A hot field thus costs more shards, not a larger task. Only links travel to the final merge. Nearest shards
+are enough for links of high cosine; plain neighbours lie in any shard, so with ``routes=None`` a vector that asks is
+looked up in every one, whatever their number. That suits a small share of asking rows: each task holds them all.
 
 Defined cases: vectors that are null, of a wrong length, not finite or all zero are neither found nor looked up. A
 query_id that stands several times is one vector; if its rows disagree it is looked up with each, and its best cosines
@@ -37,7 +39,8 @@ class Search:
     """What to look for and how hard.
 
     k: neighbours of each vector. min_cosine: links below it aren't wanted (None: all are). trees, leaf_rows, probes:
-    the forest of a shard, and the leaves a query visits over all trees. shard_values, routes, sample_rows: see above.
+    the forest of a shard, and the leaves a query visits over all trees. shard_values, routes (None: every shard),
+    sample_rows: see above.
     """
 
     k: int = 10
@@ -46,7 +49,7 @@ class Search:
     leaf_rows: int = 192
     probes: int = 30
     shard_values: int = 1 << 23
-    routes: int = 4
+    routes: int | None = 4
     sample_rows: int = 64
     seed: int = 7
 
@@ -350,8 +353,11 @@ def links(vectors: DataFrame, fields: DataFrame, s: Search, asks_sql: str = "tru
                     mine, unit = mine.filter(pa.array(good)), unit[good]
                     if not len(unit):
                         continue
-                    to = best_leaves([tree], unit, min(s.routes, 1 << tree.depth))
-                    asks = mine.column("asks").to_numpy(zero_copy_only=False)
+                    asks, leaves = mine.column("asks").to_numpy(zero_copy_only=False), 1 << tree.depth
+                    if s.routes is None or s.routes >= leaves:  # every shard, from the own one on; no queue is needed
+                        to = (best_leaves([tree], unit, 1) + np.arange(leaves)) % leaves
+                    else:
+                        to = best_leaves([tree], unit, s.routes)
                     for r in range(to.shape[1]):
                         sent = mine if r == 0 else mine.filter(pa.array(asks))
                         leaf = to[:, r] if r == 0 else to[asks, r]
@@ -375,7 +381,7 @@ def links(vectors: DataFrame, fields: DataFrame, s: Search, asks_sql: str = "tru
 
     per_shard = flat.repartition(len(shards), "shard").groupBy("shard").applyInArrow(look_up, LINK)
     best = per_shard.groupBy("query_id", "neighbour_id").agg(F.max("cosine").alias("cosine"))
-    # a query was looked up in at most ``routes`` shards, so a window holds at most routes * k links
+    # a window holds at most k links for each shard that a query was looked up in
     rank = F.expr("row_number() over (partition by query_id order by cosine desc, neighbour_id)")
     return best.withColumn("rank", rank).where(F.col("rank") <= s.k)
 

@@ -9,8 +9,8 @@ from corpusloom.plans.registry import Registry, table
 from corpusloom.sources.shared import spread, written
 
 PAIRS = neighbours.Search(k=10, min_cosine=0.9)
-#: One vector in a hundred is looked up here, so each may visit far more leaves.
-KNN = neighbours.Search(k=10, probes=400)
+#: One vector in a hundred is looked up here, so each may visit far more leaves, and every shard of its field.
+KNN = neighbours.Search(k=10, probes=400, routes=None)
 
 
 def _documents(s, d):

@@ -1,7 +1,10 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 
 from corpusloom.llm import neighbours as N
+from corpusloom.llm.queries import KNN
 
 FIELDS = [("i", "v", 8), ("i", "w", 8), ("j", "v", 4), ("i", "text", None)]
 
@@ -48,6 +51,16 @@ def test_recall_of_plain_neighbours(frames):
     assert len(got) == len(want) == 150 and len(got & want) / len(want) >= 0.9
 
 
+def test_recall_of_plain_neighbours_in_many_shards(frames):
+    rng = np.random.default_rng(4)
+    data = [(i, rng.standard_normal(8).tolist()) for i in range(1500)]
+    got = {(r.query_id, r.neighbour_id) for r in N.links(*frames([(q, "i", "v", v) for q, v in data]), replace(KNN, shard_values=800), "query_id % 100 = 0").collect()}
+    x = np.array([v for _, v in data])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(q, int(o)) for q in range(0, 1500, 100) for o in [o for o in np.argsort(-(x @ x[q])) if o != q][:10]}
+    assert got == want  # a shard of a hundred vectors is one leaf, so every true neighbour is seen
+
+
 def test_unusable_vectors_and_other_fields_are_no_partners(frames, rows):
     v = [1.0] * 8
     bad = [(3, "i", "v", None), (4, "i", "v", []), (5, "i", "v", [0.0] * 8), (6, "i", "v", [float("nan")] + v[1:]), (7, "i", "v", [float("inf")] + v[1:]), (8, "i", "v", v[1:]), (9, "i", "v", [None] + v[1:]), (None, "i", "v", v), (10, None, "v", v), (11, "i", "text", v), (12, "x", "v", v)]
