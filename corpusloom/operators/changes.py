@@ -9,8 +9,9 @@ A change carries the number that its commit got. Numbers give the order, whateve
 
 As every change replaces or removes a whole document, step 4 is one aggregation by key (the change with the highest
 number decides), which combines before the shuffle: a key with a third of all rows costs one row for each task.
-Keys never wait for each other. In an open log, changes above the watermark are held. In a closed log, where nothing
-more will arrive, every gap is a number that was never committed, and the watermark is the end of the log.
+Keys never wait for each other. The numbers are one log over all indexes, so there is one watermark for all. In an open
+log, changes above the watermark are held. In a closed log, where nothing more will arrive, every gap is a number that
+was never committed, and the watermark is the end of the log.
 """
 
 from __future__ import annotations
@@ -121,23 +122,56 @@ def contiguous_watermark(numbers: DataFrame, by: list[str], number: str, step: i
     return ends.groupBy(*by).agg(F.coalesce(F.min("stop"), F.max("hi")).alias("watermark"))
 
 
+def accounted_numbers(operations: DataFrame, step: int = 2) -> DataFrame:
+    """(number): the numbers of the log that aren't outstanding, committed or not.
+
+    Besides the committed ones these are the places of operations that arrived without a number, or took another one
+    when they were tried again. A request takes its numbers in a row, ``step`` apart in the order of its ordinals, so
+    an ordinal's place follows from where more than half of its request's numbered operations agree that the row begins.
+    Requests without such a majority account only for the numbers they have.
+    """
+    committed = operations.where(F.col("sequence_number").isNotNull()).select(F.col("sequence_number").alias("number"))
+    ops = operations.where("request_id is not null and op_ordinal is not null").groupBy("request_id", "op_ordinal").agg(F.min("sequence_number").alias("n"))
+    begin = (
+        ops.where("n is not null")
+        .groupBy("request_id", (F.col("n") - step * F.col("op_ordinal")).alias("begin"))
+        .agg(F.count("*").alias("votes"))
+        .groupBy("request_id")
+        .agg(F.max(F.struct("votes", "begin")).alias("most"), F.sum("votes").alias("all"))
+        .where("2 * most.votes > `all`")
+        .select("request_id", F.col("most.begin").alias("begin"))
+    )
+    places = ops.join(begin, "request_id").select((F.col("begin") + step * F.col("op_ordinal")).alias("number"))
+    ends = committed.agg(F.min("number").alias("lo"), F.max("number").alias("hi"))
+    inside = places.join(F.broadcast(ends), F.col("number").between(F.col("lo"), F.col("hi"))).select("number")
+    return committed.unionByName(inside).distinct()
+
+
+def log_watermark(operations: DataFrame, *, closed: bool, step: int = 2) -> DataFrame:
+    """(watermark): one row, the number up to which the log over all indexes holds; null for an empty log.
+
+    closed: its end. Otherwise its contiguous watermark, below the first number of every transaction that isn't complete.
+    """
+    if closed:
+        return operations.agg(F.max("sequence_number").alias("watermark"))
+    held = transactions(operations).where(~F.col("complete")).agg(F.min("first_number").alias("held_from"))
+    mark = contiguous_watermark(accounted_numbers(operations, step), [], "number", step)
+    return mark.join(F.broadcast(held), how="cross").select(F.least("watermark", F.col("held_from") - 1).alias("watermark"))
+
+
 def replay(operations: DataFrame, requests: DataFrame, *, closed: bool = True, step: int = 2) -> DataFrame:
     """(index_name, document_id, sequence_number): the documents that exist, with the last change that took effect.
 
-    closed: the log is complete, so a gap is a number that was never committed. Otherwise only changes up to the
-    contiguous watermark of each index count, and a transaction that isn't complete holds the watermark below its
-    first number. Empty inputs give no rows; a null index_name or document_id is no document.
+    Only deliveries up to the watermark of the log count (see log_watermark); those above it don't take part in copies
+    either. closed: the log is complete, so a gap is a number that was never committed and the watermark is its end.
+    Otherwise what lies behind a gap or in an incomplete transaction is held. Empty inputs give no rows; a null
+    index_name or document_id is no document.
     """
-    changes = committed_changes(operations, requests)
-    if not closed:
-        open_tx = transactions(operations).where(~F.col("complete"))
-        names = one_request_each(requests).select("request_id", "index_name")
-        hold = open_tx.join(names, "request_id").groupBy("index_name").agg(F.min("first_number").alias("held_from"))
-        marks = contiguous_watermark(changes, ["index_name"], "sequence_number", step)
-        limit = marks.join(hold, "index_name", "left").select("index_name", F.least("watermark", F.col("held_from") - 1).alias("limit"))
-        changes = changes.join(limit, "index_name").where(F.col("sequence_number") <= F.col("limit"))
+    mark = F.broadcast(log_watermark(operations, closed=closed, step=step).withColumnRenamed("watermark", "_watermark"))
+    reached = operations.join(mark, F.col("sequence_number") <= F.col("_watermark")).drop("_watermark")
     return (
-        changes.where("effective and index_name is not null")
+        committed_changes(reached, requests)
+        .where("effective and index_name is not null")
         .groupBy("index_name", "document_id")
         .agg(F.max(F.struct("sequence_number", "is_delete")).alias("last"))
         .where("not last.is_delete")

@@ -41,9 +41,26 @@ numbers AS (SELECT DISTINCT index_name, sequence_number AS n FROM keyed WHERE se
 gaps AS (SELECT *, lag(n) OVER (PARTITION BY index_name ORDER BY n) AS before FROM numbers)
 SELECT index_name, coalesce(min(CASE WHEN n - before > 200 THEN before END), max(n)) AS watermark FROM gaps GROUP BY index_name"""
 
+_LOG = """
+ops AS (SELECT request_id, op_ordinal, min(sequence_number) AS n FROM bulk_operations WHERE request_id IS NOT NULL AND op_ordinal IS NOT NULL GROUP BY 1, 2),
+votes AS (SELECT request_id, n - 2 * op_ordinal AS begin, count(*) AS v FROM ops WHERE n IS NOT NULL GROUP BY 1, 2),
+begins AS (SELECT request_id, arg_max(begin, v) AS begin FROM votes GROUP BY 1 HAVING 2 * max(v) > sum(v)),
+numbers AS (
+  SELECT sequence_number AS n FROM bulk_operations WHERE sequence_number IS NOT NULL
+  UNION SELECT begin + 2 * op_ordinal FROM ops JOIN begins USING (request_id)
+  WHERE begin + 2 * op_ordinal BETWEEN (SELECT min(sequence_number) FROM bulk_operations) AND (SELECT max(sequence_number) FROM bulk_operations)),
+gaps AS (SELECT n, lag(n) OVER (ORDER BY n) AS before FROM numbers),
+held AS (SELECT min(f) AS held_from FROM (SELECT min(n) AS f FROM ops GROUP BY request_id HAVING count(*) <> max(op_ordinal) + 1)),
+mark AS (SELECT least((SELECT coalesce(min(CASE WHEN n - before > 2 THEN before END), max(n)) FROM gaps), (SELECT held_from - 1 FROM held)) AS watermark)"""
+
+_OPEN = _EXISTING.replace(_KEYED, f"{_LOG},{_KEYED}").replace("WHERE sequence_number IS NOT NULL AND kind", "WHERE sequence_number <= (SELECT watermark FROM mark) AND kind")
+
+
 def register(reg: Registry) -> None:
     """Add this module's queries."""
     reg.add("p2_found", lambda s, d: changes.replay(table(s, d, "bulk_operations"), table(s, d, "bulk_requests")), _EXISTING)
+    reg.add("p2_open", lambda s, d: changes.replay(table(s, d, "bulk_operations"), table(s, d, "bulk_requests"), closed=False), _OPEN)
+    reg.add("p2_log_watermark", lambda s, d: changes.log_watermark(table(s, d, "bulk_operations"), closed=False), f"WITH {_LOG} SELECT watermark FROM mark")
     reg.add("p2_transactions", lambda s, d: changes.transactions(table(s, d, "bulk_operations")), _TRANSACTIONS)
 
     def watermark(s, d):

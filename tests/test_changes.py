@@ -59,6 +59,23 @@ def test_open_log_holds_changes_behind_a_gap_and_incomplete_transactions(make, r
     assert rows(changes.replay(*make(late, reqs), closed=False, step=4)) == []
 
 
+def test_one_log_over_all_indexes(make, rows):
+    reqs = [(r, i, None, None, "") for r, i in (("r", "i"), ("s", "j"), ("t", "i"), ("u", "j"))]
+    ops = [op(1, doc="a", seq=2), op(2, doc="b", seq=4, req="s"), op(3, doc="c", seq=None, req="s", ordinal=1), op(4, doc="d", seq=8, req="s", ordinal=2), op(5, doc="e", seq=10, req="t")]
+    # 6 was the place of an operation without a number, so nothing is outstanding below 10
+    assert rows(changes.replay(*make(ops, reqs), closed=False)) == [("i", "a", 2), ("i", "e", 10), ("j", "b", 4), ("j", "d", 8)]
+    more = [*ops, op(6, doc="f", seq=14, req="u"), op(7, doc="a", kind="delete", payload=None, seq=16, req="t", ordinal=1)]  # nothing accounts for 12
+    assert rows(changes.replay(*make(more, reqs), closed=False)) == rows(changes.replay(*make(ops, reqs), closed=False))
+    assert rows(changes.log_watermark(make(more, reqs)[0], closed=False)) == [(10,)]
+    assert rows(changes.log_watermark(make(more, reqs)[0], closed=True)) == [(16,)]
+
+
+def test_copies_above_the_watermark_wait(make, rows):
+    ops = [op(1, seq=2), op(2, doc="x", seq=4, ordinal=1, payload="{", key="k"), op(3, doc="x", seq=90, ordinal=1, key="k")]
+    assert rows(changes.replay(*make(ops), closed=False)) == [("i", "d", 2)]
+    assert rows(changes.replay(*make(ops))) == [("i", "d", 2), ("i", "x", 4)]
+
+
 def test_repeated_requests_count_once(make, rows):
     reqs = [("r", "i", "K", None, "")] * 3 + [("q", "i", None, None, "")]
     ops = [op(n, key=k, req=r) for n, k, r in ((3, None, "r"), (1, " k", "q"), (2, "  ", "r"), (4, None, "q"))]
