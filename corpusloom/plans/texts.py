@@ -11,6 +11,8 @@ from corpusloom.plans.registry import Registry, table
 
 _W = "regexp_extract_all(coalesce({0}, ''), '[\\p{{L}}\\p{{Nd}}]+')"
 _WORDS = _W.format("title")
+#: Their SQL builds the words of a text again for each of its words, so over texts they are tested on a fixture.
+_SLOW = {"filter_shingle", "filter_common_grams"}
 _COMMON = ["plain", "ledger", "query", "nested"]
 
 
@@ -28,6 +30,8 @@ def register(reg: Registry) -> None:
             rows = table(s, d, "documents") if source is None else source(table(s, d, "documents"))
             return rows.select(F.explode(analyse(F.coalesce(F.col(column), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
+        if column == "title" or name == "tok_ngram":  # the same over whole texts
+            add(f"{name}_text", analyse, None if tokens is None or name in _SLOW else tokens.replace(column, "text").replace("\\S+", "[^\\s\\x0b]+"), "text")
         reg.add(name, run, None if tokens is None else _counted(tokens) if tokens.strip().startswith(("list", "regexp", "string", "flatten", "[", "CASE")) else tokens)
 
     low = f"list_transform({_WORDS}, lambda x: lower(x))"
@@ -66,7 +70,7 @@ def register(reg: Registry) -> None:
     add("filter_synonyms", an.analyser(an.words, an.lowercase, an.synonyms({"ledger": ["book", "register"], "plain": ["simple"]})),
         f"list_concat({low}, flatten(list_transform({low}, lambda x: CASE x WHEN 'ledger' THEN ['book', 'register'] WHEN 'plain' THEN ['simple'] ELSE [] END)))")
     add("filter_word_delimiter", an.analyser(an.whitespace, an.word_delimiter()), None, "text")
-    add("filter_hyphenated", an.analyser(an.whitespace, an.rejoin_hyphenated), None, "title")
+    add("filter_hyphenated", an.analyser(an.whitespace, an.rejoin_hyphenated), None, "text")
     add("filter_unique", an.analyser(an.words, an.unique), f"list_distinct({_WORDS})")
     add("html_strip", lambda c: an.words(an.strip_html(c)), "regexp_extract_all(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]*>?', ' ', 'g'), '&[A-Za-z0-9_]*;', ' ', 'g'), '[\\p{L}\\p{Nd}]+')", "text")
     add("map_characters", lambda c: an.words(an.map_characters(c, {"ä": "ae", "ß": "ss"})), "regexp_extract_all(replace(replace(coalesce(text, ''), 'ä', 'ae'), 'ß', 'ss'), '[\\p{L}\\p{Nd}]+')", "text")
