@@ -7,6 +7,10 @@ hash covering its own scalar properties and the hashes of the objects below it (
   identity of the enclosing case, and its own identity. No occurrence is lost, however often an object repeats.
 * objects: each distinct object once, with its canonical content, found by identity.
 
+Cases are what p4_found asks for. With every=True the other objects are rows too: the root (payload, request or
+response) and each object that is a property's value or stands in another array (object). Otherwise these are written
+out in the content of the object that holds them.
+
 A record's JSON is read by one task and never held together with others, so a hot source needs no special care; the
 objects table combines by identity before its shuffle.
 """
@@ -50,8 +54,17 @@ def _hash(text: str) -> bytes:
 class _Walk:
     """Collects the cases of one record. Subclasses say what a case is; keep() hashes what they find."""
 
-    def __init__(self, source: str, record: int):
-        self.source, self.record, self.rows = source, record, []
+    root = ""
+
+    def __init__(self, source: str, record: int, every: bool = False):
+        self.source, self.record, self.every, self.rows = source, record, every, []
+
+    def inner(self, path: str, parent: int, ordinal: int, shape):
+        """The form of an object that is no case: shape(row of its enclosing object), by hash if every object counts."""
+        if not self.every:
+            return shape(parent)
+        at = self.open()
+        return {"$": self.close(at, "object" if path else self.root, path, parent, ordinal, _dump(shape(at))).hex()}
 
     def open(self) -> int:
         """Reserve a row, so that a parent stands before its children."""
@@ -73,14 +86,16 @@ class _Walk:
 class _Payload(_Walk):
     """child: each object that is an element of an array, at any depth."""
 
+    root = "payload"
+
     def value(self, v, path: str, parent: int, ordinal: int, element: bool):
         """A form of the value for its parent's content: scalars as they are, objects by hash."""
         if isinstance(v, dict):
-            at = self.open() if element else parent
-            shape = {k: self.value(x, f"{path}/{k}", at, -1, False) for k, x in v.items()}
+            shape = lambda at: {k: self.value(x, f"{path}/{k}", at, -1, False) for k, x in v.items()}
             if element:
-                return {"$": self.close(at, "child", path, parent, ordinal, _dump(shape)).hex()}
-            return shape
+                at = self.open()
+                return {"$": self.close(at, "child", path, parent, ordinal, _dump(shape(at))).hex()}
+            return self.inner(path, parent, -1, shape)
         if isinstance(v, list):
             return [self.value(x, f"{path}/{i}", parent, i, True) for i, x in enumerate(v)]
         return v
@@ -98,48 +113,74 @@ def _listed(v) -> list:
 class _Request(_Walk):
     """clause: each query that is an element of must, should, mustNot or clauses, at any depth."""
 
-    def value(self, v, path: str, parent: int):
+    root = "request"
+
+    def value(self, v, path: str, parent: int, ordinal: int = -1):
         if isinstance(v, dict):
-            shape = {}
-            for name, x in v.items():
-                k = _camel(name)
-                if k in CLAUSE_LISTS:
-                    shape[k] = [self.clause(e, f"{path}/{k}/{i}", parent, i) for i, e in enumerate(_listed(x))]
-                else:
-                    shape[k] = self.value(x, f"{path}/{k}", parent)
-            return shape
+            return self.inner(path, parent, ordinal, lambda at: self.shape(v, path, at))
         if isinstance(v, list):
-            return [self.value(x, f"{path}/{i}", parent) for i, x in enumerate(v)]
+            return [self.value(x, f"{path}/{i}", parent, i) for i, x in enumerate(v)]
         return v
 
+    def shape(self, v: dict, path: str, at: int):
+        shape = {}
+        for name, x in v.items():
+            k = _camel(name)
+            if k in CLAUSE_LISTS:
+                shape[k] = [self.clause(e, f"{path}/{k}/{i}", at, i) for i, e in enumerate(_listed(x))]
+            else:
+                shape[k] = self.value(x, f"{path}/{k}", at)
+        return shape
+
     def clause(self, v, path: str, parent: int, ordinal: int):
         if not isinstance(v, dict):
             return self.value(v, path, parent)
         at = self.open()
-        return {"$": self.close(at, "clause", path, parent, ordinal, _dump(self.value(v, path, at))).hex()}
+        return {"$": self.close(at, "clause", path, parent, ordinal, _dump(self.shape(v, path, at))).hex()}
 
 
 class _Response(_Walk):
     """hit: each element of hits; fragment: each string under highlights."""
 
+    root = "response"
+
     def value(self, v):
         if isinstance(v, dict):
-            for name, x in v.items():
-                if _camel(name) == "hits":
-                    for i, hit in enumerate(_listed(x)):
-                        self.hit(hit, f"/hits/{i}", i)
+            self.inner("", -1, -1, lambda at: self.shape(v, at))
 
-    def hit(self, v, path: str, ordinal: int):
+    def shape(self, v: dict, at: int):
+        shape = {}
+        for name, x in v.items():
+            k = _camel(name)
+            if k == "hits":
+                shape[k] = [self.hit(hit, f"/hits/{i}", at, i) for i, hit in enumerate(_listed(x))]
+            else:
+                shape[k] = self.plain(x, f"/{k}", at)
+        return shape
+
+    def plain(self, v, path: str, parent: int, ordinal: int = -1):
+        if not self.every:
+            return v
+        if isinstance(v, dict):
+            return self.inner(path, parent, ordinal, lambda at: {k: self.plain(x, f"{path}/{k}", at) for k, x in v.items()})
+        if isinstance(v, list):
+            return [self.plain(x, f"{path}/{i}", parent, i) for i, x in enumerate(v)]
+        return v
+
+    def hit(self, v, path: str, parent: int, ordinal: int):
         if v is None:
-            return
+            return None
         at = self.open()
         shape = v
         if isinstance(v, dict):
             shape = {}
             for name, x in v.items():
                 k = _camel(name)
-                shape[k] = self.fragments(x, f"{path}/highlights", at) if k == "highlights" and isinstance(x, dict) else x
-        self.close(at, "hit", path, -1, ordinal, _dump(shape))
+                if k == "highlights" and isinstance(x, dict):
+                    shape[k] = self.inner(f"{path}/{k}", at, -1, lambda up, x=x: self.fragments(x, f"{path}/highlights", up))
+                else:
+                    shape[k] = self.plain(x, f"{path}/{k}", at)
+        return {"$": self.close(at, "hit", path, parent, ordinal, _dump(shape)).hex()}
 
     def fragments(self, v: dict, path: str, parent: int):
         shape = {}
@@ -150,22 +191,25 @@ class _Response(_Walk):
                     at = self.open()
                     shape[field].append({"$": self.close(at, "fragment", f"{path}/{field}/{i}", parent, i, _dump(s)).hex()})
                 else:
-                    shape[field].append(s)
+                    shape[field].append(self.plain(s, f"{path}/{field}/{i}", parent, i))
         return shape
 
 
-def _payload(record: int, text: str):
-    walk = _Payload("bulk", record)
-    walk.value(parse_strict(text), "", -1, -1, False)
-    return walk.finished()
+def _payload(every: bool):
+    def rows(record: int, text: str):
+        walk = _Payload("bulk", record, every)
+        walk.value(parse_strict(text), "", -1, -1, False)
+        return walk.finished()
 
+    return rows
 
-def _search(kind):
+
+def _search(kind, every: bool):
     def rows(record: int, text: str):
         v = parse_strict(text)
         while isinstance(v, str):  # a body that was encoded twice counts as the inner one
             v = parse_strict(v)
-        walk = kind("search", record)
+        walk = kind("search", record, every)
         walk.value(v, "", -1) if kind is _Request else walk.value(v)
         return walk.finished()
 
@@ -200,23 +244,23 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
 
 
-def payload_occurrences(operations: DataFrame) -> DataFrame:
+def payload_occurrences(operations: DataFrame, every: bool = False) -> DataFrame:
     """Occurrences of the objects in arrays of bulk_operations.document_json; record_id is the delivery_id.
 
     A null, blank, damaged or scalar payload, or one without a delivery_id, gives no rows. A delivery_id is unique
     by contract; if one repeats, its occurrences repeat with it. Paths keep property names as they are.
     """
-    texts = operations.where(F.col("document_json").contains("[")).select("delivery_id", "document_json")
-    return texts.mapInArrow(_batches([_payload]), OCCURRENCE)
+    texts = operations.where(F.col("document_json").contains("{" if every else "[")).select("delivery_id", "document_json")
+    return texts.mapInArrow(_batches([_payload(every)]), OCCURRENCE)
 
 
-def search_occurrences(searches: DataFrame) -> DataFrame:
+def search_occurrences(searches: DataFrame, every: bool = False) -> DataFrame:
     """Occurrences of clauses, hits and highlight fragments of search_log; record_id is the search_id.
 
     Contract names are taken in camelCase and PascalCase. Missing, damaged or cut bodies give nothing. A row that
     stands twice gives its occurrences twice.
     """
-    return searches.select("search_id", "request_json", "response_json").mapInArrow(_batches([_search(_Request), _search(_Response)]), OCCURRENCE)
+    return searches.select("search_id", "request_json", "response_json").mapInArrow(_batches([_search(_Request, every), _search(_Response, every)]), OCCURRENCE)
 
 
 def nested_cases(operations: DataFrame, searches: DataFrame) -> DataFrame:
@@ -226,6 +270,12 @@ def nested_cases(operations: DataFrame, searches: DataFrame) -> DataFrame:
     return payload_occurrences(operations).select(*columns).unionByName(search_occurrences(searches).select(*columns).distinct())
 
 
+def all_occurrences(operations: DataFrame, searches: DataFrame) -> DataFrame:
+    """Every object and fragment of both sources, a search that stands twice counting once."""
+    place = ["record_source", "record_id", "entity", "path", "parent_path", "ordinal", "node_hash", "parent_hash"]
+    return payload_occurrences(operations, every=True).unionByName(search_occurrences(searches, every=True).dropDuplicates(place))
+
+
 def object_store(occurrences: DataFrame) -> DataFrame:
     """(node_hash, entity, content, occurrences): each distinct object once."""
     return occurrences.groupBy("node_hash", "entity").agg(F.min("content").alias("content"), F.count("*").alias("occurrences"))

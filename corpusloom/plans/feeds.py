@@ -71,8 +71,14 @@ def register(reg: Registry) -> None:
     reg.add("p4_found", lambda s, d: nested.nested_cases(table(s, d, "bulk_operations"), table(s, d, "search_log")))
 
     def objects(s, d):
-        found = nested.payload_occurrences(table(s, d, "bulk_operations"))
+        found = nested.all_occurrences(table(s, d, "bulk_operations"), table(s, d, "search_log"))
         return nested.object_store(found).select(F.hex("node_hash").alias("node_hash"), "entity", "content", "occurrences")
 
     reg.add("p4_objects", objects)
+
+    def bridge(s, d):
+        found = nested.all_occurrences(table(s, d, "bulk_operations"), table(s, d, "search_log"))
+        return found.withColumns({c: F.hex(c) for c in ("node_hash", "parent_hash")}).drop("content")
+
+    reg.add("p4_bridge", bridge)
     reg.add("p5_found", lambda s, d: delivery.dropped_copies(table(s, d, "bulk_operations"), table(s, d, "bulk_requests")), _DROPPED)

@@ -53,3 +53,20 @@ def test_searches_that_stand_twice_count_once(spark, rows):
 
 def test_very_deep_text_is_no_failure(cases):
     assert cases(['{"a":' * 200_000 + "1" + "}" * 200_000, '{"a":[' * 300 + "{}" + "]}" * 300])[-1][0] == "child"
+
+
+def test_every_object_of_both_sources_has_an_identity(spark):
+    ops = spark.createDataFrame([(1, '{"n":1,"o":{"x":2},"a":[{"x":2}]}'), (2, '{"n":3}')], "delivery_id long, document_json string")
+    search = (7, '{"query":{"must":[{"k":1}]}}', '{"total":1,"hits":[{"document":{"t":"d"},"highlights":{"b":["f"]}}]}')
+    log = spark.createDataFrame([search] * 2, "search_id long, request_json string, response_json string")
+    found = nested.all_occurrences(ops, log)
+    places = {(r.record_id, r.entity, r.path, r.parent_path): r for r in found.collect()}
+    assert sorted(places) == [
+        (1, "child", "/a/0", ""), (1, "object", "/o", ""), (1, "payload", "", ""), (2, "payload", "", ""),
+        (7, "clause", "/query/must/0", "/query"), (7, "fragment", "/hits/0/highlights/b/0", "/hits/0/highlights"), (7, "hit", "/hits/0", ""),
+        (7, "object", "/hits/0/document", "/hits/0"), (7, "object", "/hits/0/highlights", "/hits/0"), (7, "object", "/query", ""), (7, "request", "", ""), (7, "response", "", ""),
+    ]
+    assert found.count() == 12
+    assert places[1, "object", "/o", ""].node_hash == places[1, "child", "/a/0", ""].node_hash
+    assert places[7, "hit", "/hits/0", ""].parent_hash == places[7, "response", "", ""].node_hash
+    assert nested.object_store(found).count() == 12
