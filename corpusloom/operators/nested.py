@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -220,6 +221,7 @@ def _batches(readers):
     """A mapInArrow function over (id, one or more JSON columns); each column has its reader. Output is cut in blocks."""
 
     def run(batches):
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 60_000))  # a few frames for each level that the decoder takes
         for batch in batches:
             ids = batch.column(0).to_pylist()
             out: list[tuple] = []

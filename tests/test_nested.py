@@ -70,3 +70,8 @@ def test_every_object_of_both_sources_has_an_identity(spark):
     assert places[1, "object", "/o", ""].node_hash == places[1, "child", "/a/0", ""].node_hash
     assert places[7, "hit", "/hits/0", ""].parent_hash == places[7, "response", "", ""].node_hash
     assert nested.object_store(found).count() == 12
+
+
+def test_objects_beyond_a_thousand_levels(cases):
+    found = cases(['{"a":' * 1500 + '{"b":[{}]}' + "}" * 1500, '{"a":[' * 1500 + "{}" + "]}" * 1500])
+    assert [r[0] for r in found] == ["child"] * 1501
