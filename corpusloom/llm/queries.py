@@ -56,8 +56,6 @@ def register(reg: Registry) -> None:
     reg.add("p8_clean", lambda s, d: residue.without_residue(_documents(s, d)).select("doc_id", "source", "lang"))
 
     def p8_templates(s, d):
-        cut = written(residue.segments(_documents(s, d)).select("doc_id", "leaf", "message"), "segments")
-        templates = residue.mine_templates(cut)
-        return templates.join(residue.classify(cut, templates), "leaf").select("template", "documents", "segments", "says", F.round("company", 6).alias("company"), "residue")
+        return residue.templates(_documents(s, d)).withColumn("company", F.round("company", 6))
 
     reg.add("p8_templates", p8_templates)

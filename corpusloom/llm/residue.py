@@ -3,211 +3,279 @@
 Two detectors work side by side.
 
 * Slots. Placeholders, and values that a template prints in place of a missing one, are looked for in running text,
-  that is outside code spans and code blocks. One is enough, even among real content.
-* Messages. Texts are cut into segments (lines, sentences), navigation is set aside, and message templates are mined
-  with a prefix tree of fixed depth: a segment goes down by its number of tokens, its first three tokens and its last,
-  digits and codes being wildcards. A leaf is a template; what its segments have in common at either end is kept with
-  aggregates that combine before the shuffle (the common prefix of all token arrays is that of the least and the
-  greatest). Each template is classified once: by what it says, and by its company, the mean share of residue among the
-  other segments of its documents. A sentence that quotes an error message keeps the company of real sentences and is
-  content; a message in words nobody listed keeps the company of residue. Verdicts then go back to the documents: one
-  whose segments are all residue or navigation, at least one being residue, is a case.
-
-Only narrow rows (document, leaf) are shuffled; hot templates combine map-side and are joined to by leaf, where adaptive
-execution splits a hot key. Everything runs over whole texts and all documents, in the JVM.
-
-Defined cases: null, empty and blank texts are no cases, and neither are texts of codes and odd characters. Documents
-that stand twice are judged together and come out once. Rows without a doc_id are left out.
+  that is outside code spans and code blocks, by their notation, whatever name stands in them. One is enough.
+* Messages. Texts are cut into segments (lines, sentences) and the distinct ones, codes being wildcards, go down a prefix
+  tree of fixed depth (number of tokens, first tokens). In a leaf a message joins the most similar template, which gets a
+  wildcard wherever the two differ, or begins one. Each template is classified once, by evidence of the corpus beside one
+  weak feature, what its words say (``wording``):
+
+  1. filler of made-up words: a message without function words, of words that hardly ever stand beside one elsewhere;
+  2. company: over the segments of a template that stand with others, the mean share of residue among the others. A
+     template that says residue but keeps the company of content quotes or explains, and is content. One that says
+     nothing known but keeps the company of residue is residue. The second is asked twice, the first before and after.
+
+  Verdicts go back to the documents: a case is one whose segments are all residue, or neutral (navigation, labels with
+  codes), at least one being residue.
+
+The distinct messages of a leaf are mined in one pass; where adaptive execution splits a hot leaf, its parts are mined
+apart and templates with the same text are one template, so all further figures are sums. Documents are joined to
+templates as narrow rows (document, message id); nothing is collected and nothing is left out for its length.
+
+Defined cases: null, empty and blank texts are no cases, and neither are texts of navigation, codes and odd characters
+only. Documents that stand twice are judged together and come out once. Rows without a doc_id are left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import wording
 from corpusloom.sources.shared import written
 
-# --- fixed values: the languages' wording of residue, one expression a line ---
-TAGS = r"(?i)</?(?:html|body|head|title|h\d|p|div|span|noscript|b|i|br|ul|li|a)\b[^>]{0,200}>"
+TAGS = r"(?i)</?(?:html|body|head|title|h\d|p|div|span|noscript|b|i|br|ul|li|a)\b[^>]*>"
 CODE = r"(?s)```.*?```|`[^`\n]*`|(?m:^(?: {4}|\t).*$)"
-NAVIGATION = "(?i)" + "|".join(
-    [
-        r"home \| docs \| search \| about",
-        r"site map · terms · contact",
-        r"skip to content",
-        r"menu\s+sign in\s+help",
-        r"guides > queries > current page",
-        r"back to the start page",
-        r"all rights reserved\.?",
-        r"inicio \| guías \| buscar",
-        r"ir al contenido",
-        r"aviso legal · contacto",
-        r"accueil \| guides \| recherche",
-        r"aller au contenu",
-        r"mentions légales · contact",
-        r"start \| handbuch \| suche",
-        r"zum inhalt springen",
-        r"zurück zur startseite",
-        r"impressum · kontakt",
-    ]
-)
-SCRIPT = [
-    r"javascript|\bjs\b|\bscripts?\b|\bscripting\b|skripte",
-    r"(?:verify|confirm) that you are human|(?:checking|verifying) your browser",
-    r"^(?:loading|please wait|one moment)",
-    r"(?:refresh|reload) the page|seite danach neu|vuelva a cargar|rechargez|ricarica|recarregue|обновите|刷新页面|再読み込み",
-]
-ERROR = [
-    r"not found|page can.t be found|page doesn.t exist|page isn.t here|page has gone missing|^(?:oops|uh-oh|hmm|sorry)\b",
-    r"^(?:http )?(?:error|status|code|fault|erreur|fehler|erro|errore|ошибка|错误|エラー|http)\W{0,3}\*",
-    r"^\*\W{0,4}(?:bad request|unauthorized|forbidden|gone|too many requests|internal server error|bad gateway|service unavailable|gateway timeout)",
-    r"^(?:request|trace|incident|error) id\b|^reference:|^at [\w.]+\(\)|vorgangsnummer|code de suivi|^referencia",
-    r"session (?:has|expired)|(?:access|permission) denied|you lack the rights|don.t have permission",
-    r"went (?:wrong|sideways)|(?:an|the) (?:unknown|unexpected|internal) error has occurred|unhandled exception",
-    r"^(?:please )?(?:try (?:again|once more)|come back|wait a moment|slow down|(?:sign|log) in again)",
-    r"timed out|too many requests from|address (?:for typing|you requested)|link is broken",
-    r"(?:page|file|resource|document|address|folder) you .{0,40}(?:does not exist|could not be located|moved or deleted|was not found)|not authori[sz]ed|you are not allowed",
-    r"service is (?:temporarily|not available)|for (?:maintenance|an upgrade) and will|server (?:sent an invalid|did not answer|refused)",
-    r"(?:lost the|failed to|could not) connect|if the problem persists",
-    r"nicht gefunden|seite existiert nicht|nicht vorhanden|nicht auffindbar|serverfehler|fehler aufgetreten|vorübergehend nicht|derzeit nicht|nicht erreichbar|keine berechtigung|sitzung ist|zugriff verweigert|versuchen sie es",
-    r"introuvable|inexistante|n.existe (?:pas|plus)|erreur (?:interne|inattendue)|accès (?:interdit|refusé)|session a expiré|momentanément|actuellement indisponible|réessayer",
-    r"no (?:se )?(?:ha |ha sido )?encontrad|error (?:interno|inesperado)|acceso (?:prohibido|denegado)|sesión ha|no está disponible|inténtelo",
-    r"non trovata|errore (?:interno|imprevisto)|accesso negato|sessione|non è al momento|riprova",
-    r"não encontrada|acesso negado|sessão|está indisponível|tente (?:novamente|mais tarde)",
-    r"не найдена|недоступ|доступ запрещ|повторите попытку",
-    r"找不到|暂时不可用|拒绝访问|稍后|見つかりません|ページが|利用できません|もう一度",
-]
-FILLER = [
-    r"(?:goes|comes) (?:here|in this)|here to fill|for layout|(?:placeholder|dummy|sample|example|filler) text|\bblah\b|to be written|text to come|coming text|will (?:go|appear|be placed)\b|by the client|copy to follow|^tk\b",
-    r"your (?:own )?(?:slogan|tagline|sub ?heading|heading|headline|title|text|caption)\b|your own|short (?:description|blurb|summary) of|fill these in|point (?:one|two|three)\.|^item (?:one|two|three)",
-    r"blindtext|hier (?:steht|kommt) später|text folgt|(?:titel|überschrift) einfügen|platzhalter",
-    r"faux texte|texte (?:final|définitif)|à compléter|paragraphe d.exemple|à (?:remplacer|réécrire)",
-    r"texto de (?:relleno|exemplo|ejemplo)|irá el|pendiente de redactar|sustituya este|virá aqui|a substituir",
-    r"testo di prova|segnaposto|qui andrà|testo (?:finale|definitivo)|da completare",
-    r"здесь будет|образец текста|示例|填写|ダミー|ここに",
-    r"lorem|ipsum|x{3,}|z{3,}|asdf|qwe\b|jkl|\btest\*? test|\b(\w{3,}) \1\b",
-]
-#: Words that prose about such messages has and the messages themselves have not.
-PROSE = r"(?i)`|only for|plain html|ohne javascript|sans javascript|sin javascript|senza javascript|sem javascript|crawler|should retry|the (?:index|parser|cleaner|server|suggester|stemmer|facet|cursor|snapshot|endpoint)\b|search box|der index|der stemmer|de la prueba|du test"
-#: Function words of the languages at hand: a sentence of five or more words has one unless its words are made up.
-FUNCTION_WORDS = r"(?i)(?<![\p{L}])(?:the|a|an|of|and|or|to|in|on|at|by|is|are|was|were|it|its|for|with|from|that|this|no|not|as|be|has|have|you|your|we|der|die|das|ein|eine|und|oder|im|zu|den|dem|des|ist|sind|mit|von|für|auf|nicht|wie|bei|le|la|les|un|une|et|ou|du|de|en|est|sont|pour|avec|sur|dans|pas|el|los|las|una|y|con|por|es|del|al|se|il|lo|gli|i|e|di|che|per|si|o|os|as|um|uma|do|da|em|com|para|não|na|no)(?![\p{L}])"
-
-NAME = r"[A-Za-z_][\w.]*"
+NAME = r"[\p{L}_][\p{L}\p{N}_.]*"
+#: Anything between marks that no ordinary writing has; a letter first, so that sets and formulas aren't meant.
+BODY = r"\s*[\p{L}_][^{}\[\]<>\r\n]*"
+#: Elements in capitals and names of keys, which stand in angle brackets without being placeholders.
+NOT_SLOTS = r"(?!(?:HTML|BODY|HEAD|TITLE|TABLE|THEAD|TBODY|SPAN|STRONG|SCRIPT|STYLE|FORM|INPUT|BUTTON|FRAME|IFRAME|CENTER|FONT|IMAGE|VIDEO|AUDIO|SELECT|OPTION|LABEL|NOSCRIPT|ENTER|SHIFT|SPACE|ESCAPE|RETURN|DELETE|CTRL|HOME|BACKSPACE|MASK)\b)"
 SLOTS = [
-    rf"\{{\{{\{{?\s*{NAME}\s*\}}?\}}\}}",
-    rf"[$#]\{{\s*{NAME}\s*\}}",
-    rf"<%[=-]?\s*{NAME}\s*%>",
-    rf"\{{%\s*{NAME}\s*%\}}",
+    rf"\{{\{{\{{?[#/^&>=!~-]?{BODY}\}}\}}",
+    rf"[$#]\{{{BODY}\}}",
+    rf"<%[=-]?{BODY}%>",
+    rf"\{{%{BODY}%\}}",
     rf"\[\[\s*{NAME}\s*\]\]",
     rf"<<\s*{NAME}\s*>>",
     rf"@@{NAME}@@",
     rf"&lt;\s*{NAME}\s*&gt;",
     rf"«{NAME}»",
-    rf"\{{(?:{NAME}|\d)\}}",
+    rf"\{{(?:{NAME}|\d+)\}}",
     r"%[A-Z][A-Z0-9_]*%",
     r"\$[A-Z][A-Z0-9_]*\$",
-    r"(?<![\w])__[A-Z][A-Z0-9_]*__",
+    r"(?<!\w)__[A-Z][A-Z0-9_]*__",
     r"%\(\w+\)s",
     r"(?<![\w%])%[sd](?!\w)",
     r"[\[<][A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+[\]>]",
-    r"\[(?:INSERT|[Ii]nsert|[Ee]nter|[Yy]our) [^\]\n]{1,60}\]",
-    r"\((?:INSERT|[Ii]nsert|[Ee]nter) [^)\n]{1,60}\)",
-    r"\[[\w ]{1,60} TB[DA]\]",
+    rf"<{NOT_SLOTS}[A-Z]{{5,}}>",
+    r"\[(?:INSERT|[Ii]nsert|ENTER|[Ee]nter|YOUR|[Yy]our) [^\]\r\n]+\](?!\()",
+    r"<(?:INSERT|[Ii]nsert|ENTER|[Ee]nter|YOUR|[Yy]our) [^>\r\n]+>",
+    r"\((?:INSERT|[Ii]nsert|ENTER|[Ee]nter) [^)\r\n]+\)",
+    r"\[[^\[\]\r\n]+ TB[DA]\]",
+    r"(?<![\]!])\[\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+\](?![(\[:])",
     # values printed in place of a missing one
     r"\[object Object\]",
     r"\bnull null\b",
-    r"(?<!\b[Aa]n )\bundefined\b(?! (?:field|value|variable|name|index|behaviou?r))",
-    r"\bNaN\b(?! (?:scores?|values?))",
+    # not where the word is an adjective or a predicate of prose
+    r"(?<!\b(?:[Aa]n|is|are|was|were|be|or|and|as|of|remains?|returns?|gives?) )\bundefined\b(?=\s*(?:[^\p{L}\s]|$|(?:for|is|was|has|have|had|to|in|on|at|with|and|or|by|from|of|ist|wurde|hat|für|im|a|est|été|pour|es|fue|para|en|il|al)\b))",
+    r"(?<!\b(?:[Aa]|[Aa]n|is|are|be|or|as|returns?|gives?) )\bNaN\b(?! (?:\p{Ll}+ (?:sort|are|is|count|come|stay)|scores?|values?))",
 ]
-# --- end of fixed values ---
+#: One test of the character at hand before the alternatives are tried.
+SLOT = r"(?=[{\[<(%$#@«&_nuN])(?:" + "|".join(SLOTS) + ")"
 
-#: Company above which a template without residue wording is residue, and below which one with it is content.
+#: Levels of the prefix tree below the number of tokens.
+DEPTH = 2
+#: The share of places at which a message must agree with a template to join it.
+SIMILARITY = 0.6
+#: Company above which a template that says nothing known is residue, and below which one that says residue is content.
 IS_RESIDUE, IS_CONTENT = 0.5, 0.2
-LONGEST_MESSAGE = 200
+#: The share of its words that stand beside function words elsewhere, up to which a message is made up.
+ATTESTED = 0.3
+
+OPEN, RESIDUE, NEUTRAL, MADE_UP = 0, 1, 2, 3
+_LABEL = {wording.OPEN: OPEN, wording.RESIDUE: RESIDUE, wording.NEUTRAL: NEUTRAL, wording.MADE_UP: MADE_UP}
+ANY = "<*>"
 
 
 def has_open_slot(text: Column) -> Column:
-    """Whether running text (outside code) holds a placeholder."""
-    return F.coalesce(F.regexp_replace(text, CODE, " ").rlike("|".join(SLOTS)), F.lit(False))
+    """Whether running text (outside code) holds a placeholder. Code is set aside only where the whole text has one."""
+    return F.coalesce(text.rlike(SLOT) & F.regexp_replace(text, CODE, " ").rlike(SLOT), F.lit(False))
 
 
 def _segments(text: Column) -> Column:
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, TAGS, "\n"), r"[ \t]+$", ""), NAVIGATION, "\n")
-    cut = F.split(plain, r"[\r\n\u0085  ]+|(?<=[.!?…])\s+|(?<=[。！？])|\s{2,}")
-    trimmed = F.transform(cut, lambda s: F.regexp_replace(s, r"^[\s·|>*#-]+|[\s·|>-]+$", ""))
-    return F.filter(trimmed, lambda s: F.length(s) > 0)
+    cut = F.split(F.regexp_replace(text, TAGS, "\n"), r"[\r\n\u0085  ]+|(?<=[.!?…])\s+|(?<=[。！？])|\s{2,}")
 
+    def clean(s: Column) -> Column:
+        # short items between separators are navigation
+        bare = F.when(s.rlike(r" [|·•»>] "), F.regexp_replace(s, r"(?:\S+(?: \S+)? +[|·•»>] +)+\S+", " ")).otherwise(s)
+        bare = F.regexp_replace(bare, r"^[\s·|>*#-]+|[\s·|>-]+$", "")
+        coded = F.regexp_replace(F.regexp_replace(bare, r"\b[45]\d\d\b(?![.\d:-])", wording.STATUS), r"\b(?=\w*\d)[\w.:-]*\w", "*")
+        return F.lower(F.when(bare.rlike(r"\d"), coded).otherwise(bare))
 
-def _masked(segment: Column) -> Column:
-    """Lower case, with codes and numbers as wildcards."""
-    return F.lower(F.regexp_replace(segment, r"\b(?=\w*\d)[\w.:-]*\w", "*"))
+    return F.filter(F.transform(cut, clean), lambda s: F.length(s) > 0)
 
 
 def segments(documents: DataFrame) -> DataFrame:
-    """(doc_id, leaf, tokens, message) of every segment: its place in the prefix tree and its masked words."""
-    rows = documents.where("doc_id is not null and text is not null").select("doc_id", F.explode(_segments(F.col("text"))).alias("s"))
-    tokens = rows.select("doc_id", _masked(F.col("s")).alias("message")).withColumn("tokens", F.split("message", r"\s+"))
-    n = F.size("tokens")
-    path = [n, *(F.get("tokens", F.lit(i)) for i in range(3)), F.element_at("tokens", -1)]
-    return tokens.select("doc_id", F.xxhash64(*path).alias("leaf"), "tokens", "message")
+    """(doc_id, message) of every segment: its words, with codes and numbers as wildcards, in lower case."""
+    rows = documents.where("doc_id is not null and text is not null")
+    return rows.select("doc_id", F.explode(_segments(F.col("text"))).alias("message"))
+
+
+class Leaf:
+    """Templates of one leaf of the prefix tree: lists of tokens, wildcards where their messages differ."""
+
+    def __init__(self):
+        self.groups: list[list] = []  # [tokens, number of wildcards, members]
+
+    def add(self, tokens: list[str], member) -> None:
+        best, most = None, 0
+        for g in self.groups:
+            same = sum(map(str.__eq__, g[0], tokens))
+            if same > most:
+                best, most = g, same
+        # a wildcard agrees with anything, but half of the places at least must agree as words
+        if best is not None and (most + best[1]) >= SIMILARITY * len(tokens) and 2 * most >= len(tokens):
+            at = best[0]
+            for i, t in enumerate(tokens):
+                if at[i] != t and at[i] != ANY:
+                    at[i] = ANY
+                    best[1] += 1
+            best[2].append(member)
+        else:
+            self.groups.append([list(tokens), 0, [member]])
+
 
+MINED = "mid long, n long, template string, label int, words array<string>, word string, plain long, total long"
+_SCHEMA = pa.schema([("mid", pa.int64()), ("n", pa.int64()), ("template", pa.string()), ("label", pa.int32()), ("words", pa.list_(pa.string())), ("word", pa.string()), ("plain", pa.int64()), ("total", pa.int64())])
+_BLOCK = 20_000
 
-def _common(a: Column, b: Column) -> Column:
-    """How many elements two arrays have in common from their start."""
-    same = F.zip_with(a, b, lambda x, y: x == y)
-    miss = F.array_position(same, False)
-    return F.when(miss > 0, miss - 1).otherwise(F.size(same))
+
+def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out: list[tuple] = []
+    counts: dict[str, list[int]] = {}
+    leaf_id, leaf = None, Leaf()
+
+    def close():
+        for tokens, _, members in leaf.groups:
+            votes = [0, 0, 0, 0]
+            for _, n, label, _ in members:
+                votes[label] += n
+            label = votes.index(max(votes))
+            template = " ".join(tokens)
+            for mid, n, own, words in members:
+                out.append((mid, n, template, own if MADE_UP in (own, label) else label, words if own == MADE_UP else None, None, None, None))
+
+    def blocks(last: bool):
+        while len(out) >= _BLOCK or (last and out):
+            part, out[:] = out[:_BLOCK], out[_BLOCK:]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), _SCHEMA.types)], schema=_SCHEMA)
+
+    for batch in batches:
+        for at, mid, n, message in zip(*(c.to_pylist() for c in batch.columns)):
+            if at != leaf_id:
+                close()
+                leaf_id, leaf = at, Leaf()
+                yield from blocks(False)
+            label, made_up = wording.judge(message)
+            leaf.add(message.split(), (mid, n, _LABEL[label], made_up))
+            words = set(wording.WORD.findall(message))
+            plain = any(wording.concepts(w) & wording.FUNCTION for w in words)
+            for w in words:
+                c = counts.get(w)
+                if c is None:
+                    counts[w] = c = [0, 0]
+                c[0] += plain
+                c[1] += 1
+            if len(counts) > 1 << 18:  # word counts are sums, so they can be passed on in parts
+                out.extend((None, None, None, None, None, wording.fold(w), p, t) for w, (p, t) in counts.items())
+                counts.clear()
+    close()
+    out.extend((None, None, None, None, None, wording.fold(w), p, t) for w, (p, t) in counts.items())
+    yield from blocks(True)
 
 
 def mine_templates(cut: DataFrame) -> DataFrame:
-    """(leaf, documents, segments, template, low, high): each leaf of the prefix tree, with its least and greatest message."""
-    rows = cut.groupBy("leaf", "doc_id").agg(F.count("*").alias("n"), F.min("message").alias("low"), F.max("message").alias("high"))
-    leaves = rows.groupBy("leaf").agg(F.count("*").alias("documents"), F.sum("n").alias("segments"), F.min("low").alias("low"), F.max("high").alias("high"))
-    a, b = F.split("low", r"\s+"), F.split("high", r"\s+")
-    head, n = _common(a, b), F.size(a)
-    tail = F.least(_common(F.reverse(a), F.reverse(b)), n - head)
-    text = F.concat_ws(" ", F.slice(a, 1, head), F.when(head + tail < n, F.array(F.lit("<*>"))).otherwise(F.array()), F.slice(a, n - tail + 1, tail))
-    return leaves.withColumn("template", text)
+    """(mid, n, template, label, words) of each distinct message, and (word, plain, total) of each word beside them.
+
+    label is what the template says: 0 nothing known, 1 residue, 2 neutral, 3 perhaps made up, decided by the segments of
+    all its messages. plain: the messages that hold the word and a function word.
+    """
+    distinct = cut.groupBy("message").agg(F.count("*").alias("n"))
+    tokens = F.split("message", r"\s+")
+    path = [F.size(tokens), *(F.get(tokens, F.lit(i)) for i in range(DEPTH))]
+    rows = distinct.select(F.xxhash64(*path).alias("leaf"), F.xxhash64("message").alias("mid"), "n", "message")
+    return rows.hint("rebalance", "leaf").sortWithinPartitions("leaf").mapInArrow(_mine, MINED)
+
 
+def _labels(mined: DataFrame) -> DataFrame:
+    """(mid, tid, n, label), messages of made-up words being decided."""
+    rows = mined.where("mid is not null").select("mid", F.xxhash64("template").alias("tid"), "n", "label", "words")
+    known = mined.where("word is not null").groupBy("word").agg((F.sum("plain") / F.sum("total")).alias("beside"))
+    maybe = rows.where(F.col("label") == MADE_UP).select("mid", F.explode("words").alias("word"))
+    attested = maybe.join(known, "word").groupBy("mid").agg(F.avg(F.when(F.col("beside") >= ATTESTED, 1.0).otherwise(0.0)).alias("share"))
+    decided = attested.select("mid", F.when(F.col("share") <= ATTESTED, F.lit(RESIDUE)).otherwise(F.lit(OPEN)).alias("decided"))
+    out = rows.drop("words").join(decided, "mid", "left")
+    return out.select("mid", "tid", "n", F.coalesce("decided", F.when(F.col("label") != MADE_UP, F.col("label")), F.lit(OPEN)).alias("label"))
 
-def _says_residue(message: Column) -> Column:
-    wording = "(?i)" + "|".join(SCRIPT + ERROR + FILLER)
-    made_up = message.rlike(r"^[a-z]+(?: [a-z]{3,}){4,}\.?$") & ~message.rlike(FUNCTION_WORDS)
-    return (F.length(message) <= LONGEST_MESSAGE) & ~message.rlike(PROSE) & (message.rlike(wording) | made_up)
 
+def _company(near: DataFrame, alone: DataFrame, totals: DataFrame) -> DataFrame:
+    """(tid, placed, company): segments that stand with others, and the mean share of residue among these others.
+
+    near: (doc_id, tid, own, is_residue), one row for each template of each document that has any residue.
+    """
+    docs = near.groupBy("doc_id").agg(F.sum("own").alias("all"), F.sum(F.col("own") * F.col("is_residue").cast("long")).alias("bad"))
+    rows = near.join(docs, "doc_id")
+    others = F.col("all") - F.col("own")
+    share = (F.col("bad") - F.col("own") * F.col("is_residue").cast("long")) / others
+    sums = rows.groupBy("tid").agg(F.sum(F.when(others > 0, share * F.col("own"))).alias("sum"), F.sum(F.when(others == 0, F.col("own")).otherwise(0)).alias("single"))
+    placed = F.col("n") - F.col("single") - F.coalesce("apart", F.lit(0))
+    out = sums.join(totals, "tid").join(alone, "tid", "left").select("tid", placed.alias("placed"), "sum")
+    return out.select("tid", "placed", F.when(F.col("placed") > 0, F.coalesce("sum", F.lit(0.0)) / F.col("placed")).alias("company"))
 
-def classify(cut: DataFrame, templates: DataFrame) -> DataFrame:
-    """(leaf, says, company, residue) of the templates whose wording or company can make them residue.
 
-    company: over the documents that hold the template and other segments besides, the mean share of the others that
-    say residue; null if it always stands alone.
+def classify(marked: DataFrame, totals: DataFrame) -> DataFrame:
+    """(tid, says, company, residue) of the templates that stand in a document with residue wording.
+
+    marked: (doc_id, tid, label) of each segment that isn't neutral; totals: (tid, n) segments of each template.
     """
-    wording = templates.select("leaf", "documents", (_says_residue(F.col("low")) & _says_residue(F.col("high"))).alias("says"))
-    says = wording.where("says").select("leaf", F.lit(1).alias("hit"))
-    marked = cut.select("doc_id", "leaf").join(says, "leaf", "left")
-    share = marked.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("hit").alias("r")).where("r > 0")
-    # documents without any residue wording give a company of 0, which is what absence means below
-    seen = marked.join(share, "doc_id").groupBy("leaf", "doc_id").agg(F.count("*").alias("own"), F.count("hit").alias("own_hits"), F.first("n").alias("n"), F.first("r").alias("r"))
-    others = F.col("n") - F.col("own")
-    near = seen.groupBy("leaf").agg(
-        F.sum(F.when(others > 0, (F.col("r") - F.col("own_hits")) / others)).alias("sum"),
-        F.count(F.when(others == 0, 1)).alias("alone"),
-    )
-    company = F.when(F.col("documents") > F.col("alone"), F.coalesce("sum", F.lit(0.0)) / (F.col("documents") - F.col("alone")))
-    judged = wording.join(near, "leaf").withColumn("company", company)
-    verdict = F.when(F.col("says"), F.coalesce(F.col("company") >= IS_CONTENT, F.lit(True))).otherwise(F.coalesce(F.col("company") >= IS_RESIDUE, F.lit(False)))
-    return judged.select("leaf", "says", "company", verdict.alias("residue"))
+    says = F.col("label") == RESIDUE
+    docs = marked.groupBy("doc_id").agg(F.count(F.when(says, 1)).alias("hits"), F.min("tid").alias("lo"), F.max("tid").alias("hi"), F.count("*").alias("n"))
+    alone = docs.where("hits = 0 and lo = hi").groupBy(F.col("lo").alias("tid")).agg(F.sum("n").alias("apart"))
+    near = marked.join(docs.where("hits > 0").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id", "tid").agg(F.count("*").alias("own"), F.max(says).alias("says"))
+    near, alone = written(near.withColumn("is_residue", F.col("says")), "near"), written(alone, "alone")
+    totals = totals.join(near.select("tid"), "tid", "left_semi")
+    content = (F.col("company") < IS_CONTENT) & (F.col("placed") >= 2)
+    joins = F.coalesce(F.col("company") >= IS_RESIDUE, F.lit(False))
+    # first what plainly keeps the company of content, then, twice, what keeps that of residue
+    for verdict in (F.col("says") & ~F.coalesce(content, F.lit(False)), F.col("is_residue") | (~F.col("says") & joins)):
+        new = _company(near, alone, totals)
+        near = written(near.join(new, "tid").withColumn("is_residue", verdict).drop("company", "placed"), "near")
+    last = near.groupBy("tid").agg(F.max("says").alias("says"), F.max("is_residue").alias("was")).join(_company(near, alone, totals), "tid")
+    keeps = F.coalesce(F.col("company") >= IS_CONTENT, F.lit(True))
+    return last.select("tid", "says", "company", F.when(F.col("was"), keeps).otherwise(~F.col("says") & joins).alias("residue"))
+
+
+def _mark(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The mined templates, (doc_id, tid, label) of all segments that aren't neutral, and (tid, n)."""
+    cut = written(segments(documents), "segments")
+    mined = written(mine_templates(cut), "mined")
+    labels = written(_labels(mined), "labels")
+    places = cut.select("doc_id", F.xxhash64("message").alias("mid"))
+    marked = written(places.join(labels.where(F.col("label") != NEUTRAL).select("mid", "tid", "label"), "mid").drop("mid"), "marked")
+    return mined, marked, labels.groupBy("tid").agg(F.sum("n").alias("n"))
 
 
 def residue_documents(documents: DataFrame) -> DataFrame:
     """(doc_id) of the documents to leave out."""
     slots = documents.where(F.col("doc_id").isNotNull() & has_open_slot(F.col("text"))).select("doc_id")
-    cut = written(segments(documents).select("doc_id", "leaf", "message"), "segments")
-    verdicts = classify(cut, mine_templates(cut)).where("residue").select("leaf", F.lit(1).alias("hit"))
-    pages = cut.select("doc_id", "leaf").join(verdicts, "leaf", "left").groupBy("doc_id").agg(F.count("*").alias("n"), F.count("hit").alias("r")).where("n = r")
+    _, marked, totals = _mark(documents)
+    verdicts = classify(marked, totals).where("residue").select("tid", F.lit(1).alias("hit"))
+    pages = marked.select("doc_id", "tid").join(verdicts, "tid", "left").groupBy("doc_id").agg(F.count("*").alias("n"), F.count("hit").alias("r")).where("n = r")
     return slots.unionByName(pages.select("doc_id")).distinct()
 
 
+def templates(documents: DataFrame) -> DataFrame:
+    """(template, segments, says, company, residue) of every mined template; company is null where it wasn't asked for."""
+    mined, marked, totals = _mark(documents)
+    names = mined.where("mid is not null").select(F.xxhash64("template").alias("tid"), "template").distinct()
+    judged = classify(marked, totals)
+    rows = names.join(totals, "tid").join(judged, "tid", "left")
+    return rows.select("template", F.col("n").alias("segments"), F.coalesce("says", F.lit(False)).alias("says"), "company", F.coalesce("residue", F.lit(False)).alias("residue"))
+
+
 def without_residue(documents: DataFrame) -> DataFrame:
     """The documents that aren't residue, with all their columns; rows without a doc_id stay."""
     return documents.join(residue_documents(documents), "doc_id", "left_anti")

@@ -1,6 +1,7 @@
 import pytest
 
 from corpusloom.llm import residue as R
+from corpusloom.llm import wording
 
 REAL = "The segment merger drops long posting lists before every commit. Both lists are cut at 20 candidates before they are fused."
 
@@ -8,13 +9,13 @@ REAL = "The segment merger drops long posting lists before every commit. Both li
 @pytest.fixture
 def found(spark):
     def run(texts):
-        docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, leaf string, documents int")
+        docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, template string, n int")
         return sorted(r.doc_id for r in R.residue_documents(docs).collect())
 
     return run
 
 
-SLOTS = ["{{name}}", "{{ user.name }}", "{{{raw}}}", "${count}", "#{x}", "<%= title %>", "{% date %}", "%NAME%", "[[x]]", "<<x>>", "@@X@@", "&lt;x&gt;", "$X$", "«x»", "__X__", "%(a)s", "%s", "{0}", "{x}", "[TITLE_HERE]", "<X_NAME>", "[INSERT name HERE]", "(insert name)", "[enter name]", "[name TBD]", "[Your name here]", "[object Object]", "null null", "undefined", "NaN"]
+SLOTS = ["{{name}}", "{{ user.name }}", "{{ first name }}", "{{{raw}}}", "${count}", "#{x}", "<%= title %>", "{% date %}", "%NAME%", "[[x]]", "<<x>>", "@@X@@", "&lt;x&gt;", "$X$", "«x»", "__X__", "%(a)s", "%s", "{0}", "{x}", "{größe}", "[TITLE_HERE]", "<X_NAME>", "<FIRSTNAME>", "[First Name]", "[INSERT name HERE]", "(insert name)", "[enter name]", "[name TBD]", "[Your name here]", "<YOUR date>", "[object Object]", "null null", "undefined", "NaN", "{{ " + "very " * 60 + "long }}"]
 
 
 @pytest.mark.parametrize("slot", SLOTS)
@@ -26,7 +27,13 @@ def test_slot_in_running_text(spark, slot):
     assert [r[0] for r in df.select(R.has_open_slot(F.col("text"))).collect()] == [True, False, False, False]
 
 
-@pytest.mark.parametrize("text", ["The parser test checks that an undefined field gives no hits and that NaN scores sort last.", "We tried {a, b} and <a, b> as notations.", "snake_case__name CamelCaseName", "<|endoftext|>", "100 % sure, 5 %.", REAL])
+NO_SLOTS = [
+    "The parser test checks that an undefined field gives no hits and that NaN scores sort last.", "The value is undefined, so the sum is null.", "We tried {a, b} and <a, b> as notations.", "snake_case__name CamelCaseName", "<|endoftext|>", "100 % sure, 5 %.",
+    "See [the Guide](x.html) and [Open Source Initiative](y).", "<TABLE> is an element. Press <ENTER> to go on.", "Il a dit «bonjour tout le monde» et il est parti.", REAL,
+]
+
+
+@pytest.mark.parametrize("text", NO_SLOTS)
 def test_real_text_has_no_slot(found, text):
     assert found([text]) == []
 
@@ -36,25 +43,150 @@ def test_messages_in_any_language_and_navigation(found):
     assert found([*bad, REAL]) == list(range(len(bad)))
 
 
+#: Wording that neither the lexicon nor the rules were made from; written after both, in one go, and not tuned to.
+HELD_OUT_RESIDUE = """
+Hmm. We're having trouble finding that site.
+That address doesn't lead anywhere. The page was probably deleted.
+Unable to load this document. Reload to try again.
+You do not have permission to access this folder.
+Error 403: access to the requested resource is denied.
+502 - the gateway received an invalid response from the server.
+Our service is down for maintenance. We will be back soon.
+JavaScript is turned off. Turn it on to see this page.
+This application requires a browser that supports JavaScript.
+Cookies are disabled in your browser, please enable cookies.
+Your login session timed out, sign in again.
+Unexpected error while loading the page.
+Page deleted.
+Sorry, that file no longer exists.
+Request blocked.
+Die Seite konnte nicht gefunden werden.
+Ein interner Fehler ist aufgetreten. Bitte später erneut versuchen.
+Sie müssen JavaScript aktivieren, um diese Anwendung zu nutzen.
+Cette page n'est pas disponible.
+Une erreur est survenue, veuillez réessayer plus tard.
+La página que busca no existe.
+Error del servidor. Inténtelo más tarde.
+Pagina non trovata.
+Attiva JavaScript per vedere il contenuto.
+A página não foi encontrada.
+Pagina niet gevonden.
+Sidan hittades inte.
+Strona nie została znaleziona.
+Błąd serwera. Spróbuj ponownie później.
+Sayfa bulunamadı. Lütfen tekrar deneyin.
+Запрошенная страница не найдена.
+Произошла ошибка сервера. Повторите попытку позже.
+页面不存在或已被删除。
+サーバーエラーが発生しました。後ほど再度お試しください。
+페이지를 찾을 수 없습니다. 나중에 다시 시도하세요.
+Your headline goes here.
+Add a caption for this image.
+Replace this sample text with your own.
+Texto de ejemplo. Texto de ejemplo.
+Platzhalter für den Titel
+Lorem ipsum dolor sit amet.
+qwerty asdf zxcv
+aaaa bbbb cccc dddd
+test test test test
+Melvus porandi kestul varanto. Dorimi alestro venduri kalos.
+""".strip().split("\n")
+HELD_OUT_REAL = """
+The site of the old mill was sold in March.
+Pages are numbered from the back in this edition.
+Restart the pump after ten minutes if the pressure drops.
+My account of the journey fills two notebooks.
+The error of the balance is below two grams.
+Sessions with more than five speakers need a larger hall.
+A gateway between the towns was built around 1400.
+Broken tiles were replaced during the summer holidays.
+The request of the council was debated for three hours.
+Check the oil before you start a long drive.
+Connect the red wire to the left terminal.
+JavaScript and Python share many ideas about closures.
+The script of the play was written on the train.
+Moved by the story, she wrote to the author.
+He couldn't find his keys, so he slept at a friend's place.
+Servers in the north are cooled with sea water.
+The document describes how the survey was carried out.
+Access to the valley is by a narrow road.
+The article compares three ways of storing apples.
+Wait until the paint is dry before the second coat.
+Die Anfrage der Schule wurde im Rat besprochen.
+Der Fehler lag in der Verkabelung des Motors.
+La page de garde porte une dédicace à sa sœur.
+El servicio de trenes empieza a las seis de la mañana.
+La sessione del parlamento durò tutta la notte.
+Страница дневника была написана зимой у моря.
+这个页面介绍了三种煮茶的方法和所需的时间。
+サーバーの部屋は夏でも涼しく保たれている。
+Text written by hand is harder to read for machines.
+The title was changed twice before the book went to print.
+The body of the violin is made of spruce and maple.
+Samples were taken here and at the mouth of the river.
+An image of the harbour hangs above the desk.
+Sorry to hear about the leak, I will bring a new valve.
+The timeout of the game gave both teams a rest.
+404 sheep crossed the road before noon.
+Refresh the soil with compost every spring.
+Blocks of ice were carried to the cellar in carts.
+Deleted scenes are on the second disc.
+Her permission slip lay on the kitchen table.
+""".strip().split("\n")
+
+
+def test_held_out_wording(spark, sf):
+    """Single messages and single sentences among a corpus: recall and precision of at least 0.9."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    start = 1 << 40
+    more = spark.createDataFrame([(start + i, t) for i, t in enumerate(HELD_OUT_RESIDUE + HELD_OUT_REAL)], "doc_id long, text string")
+    got = {r.doc_id - start for r in R.residue_documents(docs.unionByName(more)).where(f"doc_id >= {start}").collect()}
+    right = {i for i in got if i < len(HELD_OUT_RESIDUE)}
+    print("missed", [HELD_OUT_RESIDUE[i] for i in range(len(HELD_OUT_RESIDUE)) if i not in got])
+    print("wrong", [HELD_OUT_REAL[i - len(HELD_OUT_RESIDUE)] for i in got - right])
+    assert len(right) >= 0.9 * len(HELD_OUT_RESIDUE)
+    assert len(right) >= 0.9 * len(got)
+
+
+def test_long_messages_are_found(found):
+    long = "The page you requested does not exist and we are sorry for that, but it may have been moved to another page on this server, or it may have been removed, so please check the address, go back and try again later, or contact the administrator of this site."
+    assert found([long, REAL]) == [0]
+
+
 def test_quotes_and_mixtures_are_no_cases(found):
     quoting = ["The cleaner drops pages whose whole text is a not-found message; it found 410 of them.", 'When I call it I get "404 Not Found"; has anyone seen that? ' + REAL, REAL + "\nError 404", "The list is plain HTML; JavaScript is needed only for the sliders."]
     assert found(quoting) == []
 
 
-def test_company_decides_for_words_that_nobody_listed(found):
+def test_company_decides(found):
     page = "Error 404\nZork blimp wopp.\nAccess denied."
     assert found([page, page + "\nError 500", "Zork blimp wopp.", REAL, "Only navigation is no case", "Skip to content"]) == [0, 1, 2]
+    # the same words in the company of content, wherever they stand, are content
+    quoted = "The page was not found."
+    assert found([REAL + "\n" + quoted, REAL + " More of it. " + quoted, quoted + "\n" + REAL, quoted]) == []
 
 
 def test_null_empty_machine_data_and_repeats(found, spark):
-    assert found([None, "", " \t\n", "8fb4f39f1891f897a0c1", "α≤β ∑∂ ≠ ∞", "x" * 200_000]) == []
+    assert found([None, "", " \t\n", "8fb4f39f1891f897a0c1", "α≤β ∑∂ ≠ ∞", "word " * 3 + "x1" * 100_000]) == []
     assert found([]) == []
     docs = spark.createDataFrame([(1, "Error 404"), (1, "Error 404"), (None, "Error 404"), (2, "good text")], "doc_id long, text string")
     assert [r.doc_id for r in R.residue_documents(docs).collect()] == [1]
     assert sorted(r.text for r in R.without_residue(docs).collect()) == ["Error 404", "good text"]
 
 
-def test_templates_keep_what_is_common(spark):
-    docs = spark.createDataFrame([(1, "The index holds 5 small blue rows today."), (2, "The index holds 7 large red rows today.")], "doc_id long, text string")
-    cut = R.segments(docs)
-    assert [(r.template, r.documents) for r in R.mine_templates(cut).collect()] == [("the index holds * <*> rows today.", 2)]
+def test_templates_merge_by_similarity(spark):
+    docs = spark.createDataFrame([(1, "The index holds 5 small blue rows today."), (2, "The index holds 7 large red rows today."), (3, "The index moved to another house last year, alas.")], "doc_id long, text string")
+    got = {(r.template, r.n) for r in R.mine_templates(R.segments(docs)).where("mid is not null").collect()}
+    assert got == {("the index holds * <*> <*> rows today.", 1), ("the index moved to another house last year, alas.", 1)}
+
+
+def test_split_leaves_give_the_same_template():
+    leaf = R.Leaf()
+    for i, m in enumerate(["a b c d e", "a b c x e", "a b q d e", "a b v w z"]):
+        leaf.add(m.split(), i)
+    assert [(" ".join(g[0]), g[2]) for g in leaf.groups] == [("a b <*> <*> e", [0, 1, 2]), ("a b v w z", [3])]
+
+
+def test_quoted_words_are_mentioned_not_said():
+    assert wording.judge('pages that say "please enable javascript" are nearly empty.')[0] == wording.OPEN
+    assert wording.judge('"page not found"')[0] == wording.RESIDUE
