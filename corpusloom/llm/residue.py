@@ -28,6 +28,8 @@ only. Documents that stand twice are judged together and come out once. Rows wit
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -66,15 +68,17 @@ SLOTS = [
     r"\((?:INSERT|[Ii]nsert|ENTER|[Ee]nter) [^)\r\n]+\)",
     r"\[[^\[\]\r\n]+ TB[DA]\]",
     r"(?<![\]!])\[\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+\](?![(\[:])",
-    # values printed in place of a missing one
-    r"\[object Object\]",
-    r"\bnull null\b",
-    # not where the word is an adjective or a predicate of prose
-    r"(?<!\b(?:[Aa]n|is|are|was|were|be|or|and|as|of|remains?|returns?|gives?) )\bundefined\b(?=\s*(?:[^\p{L}\s]|$|(?:for|is|was|has|have|had|to|in|on|at|with|and|or|by|from|of|ist|wurde|hat|für|im|a|est|été|pour|es|fue|para|en|il|al)\b))",
-    r"(?<!\b(?:[Aa]|[Aa]n|is|are|be|or|as|returns?|gives?) )\bNaN\b(?! (?:\p{Ll}+ (?:sort|are|is|count|come|stay)|scores?|values?))",
 ]
+#: Values printed in place of a missing one, by a word that they hold.
+PRINTED = {
+    "[object Object]": r"\[object Object\]",
+    "null null": r"\bnull null\b",
+    # not where the word is an adjective or a predicate of prose
+    "undefined": r"(?<!\b(?:[Aa]n|is|are|was|were|be|or|and|as|of|remains?|returns?|gives?) )\bundefined\b(?=\s*(?:[^\p{L}\s]|$|(?:for|is|was|has|have|had|to|in|on|at|with|and|or|by|from|of|ist|wurde|hat|für|im|a|est|été|pour|es|fue|para|en|il|al)\b))",
+    "NaN": r"(?<!\b(?:[Aa]|[Aa]n|is|are|be|or|as|returns?|gives?) )\bNaN\b(?! (?:\p{Ll}+ (?:sort|are|is|count|come|stay)|scores?|values?))",
+}
 #: One test of the character at hand before the alternatives are tried.
-SLOT = r"(?=[{\[<(%$#@«&_nuN])(?:" + "|".join(SLOTS) + ")"
+SLOT = r"(?=[{\[<(%$#@«&_])(?:" + "|".join(SLOTS) + ")"
 
 #: Levels of the prefix tree below the number of tokens.
 DEPTH = 2
@@ -92,26 +96,29 @@ ANY = "<*>"
 
 def has_open_slot(text: Column) -> Column:
     """Whether running text (outside code) holds a placeholder. Code is set aside only where the whole text has one."""
-    return F.coalesce(text.rlike(SLOT) & F.regexp_replace(text, CODE, " ").rlike(SLOT), F.lit(False))
-
-
-def _segments(text: Column) -> Column:
-    cut = F.split(F.regexp_replace(text, TAGS, "\n"), r"[\r\n\u0085  ]+|(?<=[.!?…])\s+|(?<=[。！？])|\s{2,}")
-
-    def clean(s: Column) -> Column:
-        # short items between separators are navigation
-        bare = F.when(s.rlike(r" [|·•»>] "), F.regexp_replace(s, r"(?:\S+(?: \S+)? +[|·•»>] +)+\S+", " ")).otherwise(s)
-        bare = F.regexp_replace(bare, r"^[\s·|>*#-]+|[\s·|>-]+$", "")
-        coded = F.regexp_replace(F.regexp_replace(bare, r"\b[45]\d\d\b(?![.\d:-])", wording.STATUS), r"\b(?=\w*\d)[\w.:-]*\w", "*")
-        return F.lower(F.when(bare.rlike(r"\d"), coded).otherwise(bare))
+    def holds(t: Column) -> Column:
+        return reduce(Column.__or__, (F.contains(t, F.lit(word)) & t.rlike(shape) for word, shape in PRINTED.items()), t.rlike(SLOT))
 
-    return F.filter(F.transform(cut, clean), lambda s: F.length(s) > 0)
+    # a condition, so that code is only looked for where it matters
+    return F.coalesce(F.when(holds(text), holds(F.regexp_replace(text, CODE, " "))), F.lit(False))
 
 
 def segments(documents: DataFrame) -> DataFrame:
     """(doc_id, message) of every segment: its words, with codes and numbers as wildcards, in lower case."""
-    rows = documents.where("doc_id is not null and text is not null")
-    return rows.select("doc_id", F.explode(_segments(F.col("text"))).alias("message"))
+    text = F.col("text")
+    bare = F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, TAGS, "\n")).otherwise(text)
+    # codes and numbers are wildcards, but for what may be the status of a response
+    masked = F.lower(F.regexp_replace(bare, r"\b(?![45]\d\d\b(?![.\d:-]))(?=[\p{L}_]*\d)[\w.:-]*\w", "*"))
+    for stop in "。！？":
+        masked = F.replace(masked, F.lit(stop), F.lit(stop + "\n"))
+    # cut at a blank: the end of a line, the end of a sentence, or more than one blank
+    cut = F.split(masked, r"[\s\u0085\u2028\u2029](?:[\s\u0085\u2028\u2029]+|(?<=[\r\n\u0085\u2028\u2029])|(?<=[.!?…].))")
+    rows = documents.where("doc_id is not null and text is not null").select("doc_id", F.explode(cut).alias("s"))
+    s = F.col("s")
+    # short items between separators are navigation
+    listed = reduce(Column.__or__, (F.contains(s, F.lit(f" {c} ")) for c in "|·•»>"))
+    rows = rows.withColumn("s", F.when(listed, F.regexp_replace(s, r"(?:\S+(?: \S+)? +[|·•»>] +)+\S+", " ")).otherwise(s))
+    return rows.select("doc_id", F.rtrim(F.ltrim(s, F.lit(" \t\n\r·|>*#-")), F.lit(" \t\n\r·|>-")).alias("message")).where(F.length("message") > 0)
 
 
 class Leaf:
@@ -123,7 +130,7 @@ class Leaf:
     def add(self, tokens: list[str], member) -> None:
         best, most = None, 0
         for g in self.groups:
-            same = sum(map(str.__eq__, g[0], tokens))
+            same = sum(map(eq, g[0], tokens))
             if same > most:
                 best, most = g, same
         # a wildcard agrees with anything, but half of the places at least must agree as words
@@ -169,10 +176,11 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 close()
                 leaf_id, leaf = at, Leaf()
                 yield from blocks(False)
-            label, made_up = wording.judge(message)
+            words = wording.WORD.findall(message)
+            label, made_up = wording.judge(message, words)
             leaf.add(message.split(), (mid, n, _LABEL[label], made_up))
-            words = set(wording.WORD.findall(message))
-            plain = any(wording.concepts(w) & wording.FUNCTION for w in words)
+            words = set(words)
+            plain = not words.isdisjoint(wording.FUNCTION_WORDS)
             for w in words:
                 c = counts.get(w)
                 if c is None:

@@ -47,9 +47,9 @@ LEXICON = {
 #: The least share of a message's words that must carry its frame, where they carry a frame of little and of much evidence.
 LEAST_COVER, LEAST_COVER_STRONG = 0.65, 0.5
 KEY_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "azertyuiop")
-STATUS = "#http"
+STATUS = re.compile(r"[45]\d\d")
 
-WORD = re.compile(r"#http|[^\W\d_]+(?:['’\-][^\W\d_]+)*|<\*>")
+WORD = re.compile(r"[45]\d\d|[^\W\d_]+(?:['’\-][^\W\d_]+)*|<\*>")
 EAST = re.compile(r"[぀-ヿ㐀-鿿가-힯฀-๿]")
 EAST_CONCEPTS = {
     "thing": "页面 网页 文件 资源 服务 链接 请求 会话 网站 地址 頁面 ページ サーバー サービス リクエスト セッション ファイル アドレス サイト 페이지 서버 서비스 요청 세션 파일",
@@ -69,7 +69,7 @@ _MORE_FUNCTION_WORDS = (
     "haben habe hast hat i you your yours we our us he she they them his her can could may might should would do does did has have had been being were am me my from who what which when where why how so than too "
     "very just about over after before more most other some any all each every own same there also only while during because until between through its it's we're you're let up der die das zum zur vom dans avec cette cet votre vos sur sous sans ihr ihre ihren su sus este il lo una del con para por que mit"
 ).split()
-_FUNCTIONS = {w for lang in ("en", "fr", "de", "es", "it", "pt", "nl", "ru") for w in STOP_BY_LANGUAGE[lang]} | set(_MORE_FUNCTION_WORDS)
+FUNCTION_WORDS = {w for lang in ("en", "fr", "de", "es", "it", "pt", "nl", "ru") for w in STOP_BY_LANGUAGE[lang]} | set(_MORE_FUNCTION_WORDS)
 
 
 def fold(word: str) -> str:
@@ -99,7 +99,7 @@ def _odd(w: str) -> bool:
 @lru_cache(maxsize=1 << 16)
 def concepts(word: str) -> int:
     """The concepts of a word, as bits."""
-    if word == STATUS:
+    if STATUS.fullmatch(word):
         return CODE
     plain = fold(word)
     bits = _WHOLE.get(plain, 0)
@@ -107,7 +107,7 @@ def concepts(word: str) -> int:
         if plain[:k] in _BEGIN and len(plain) - k <= 4:
             bits |= _BEGIN[plain[:k]]
             break
-    if word in _FUNCTIONS or plain in _FUNCTIONS:
+    if word in FUNCTION_WORDS or plain in FUNCTION_WORDS:
         bits |= FUNCTION
     if not bits and plain.endswith("n't"):
         bits = NEG
@@ -119,7 +119,8 @@ def concepts(word: str) -> int:
 _PROSE = re.compile(r"(?:[^\W\d_]|[\s.,;:!?'’-])+")
 _TRACE = re.compile(r"at [\w.$<>]+\(.*\)")
 _QUOTED = re.compile(r'"[^"]*"|“[^”]*”|„[^“”]*[“”]|«[^»]*»')
-_PLAIN = re.compile(r"#http|[a-z]{2,}")
+_PLAIN = re.compile(r"[45]\d\d|[a-z]{2,}")
+QUOTES = frozenset("\"“„«")
 _JOINED = re.compile(r"\b(sign|log|time|timed)[ -](in|out)\b")
 RESIDUE, NEUTRAL, MADE_UP, OPEN = "residue", "neutral", "made up", "open"
 _CODE = re.compile(r"[;{}=]|\(\)")
@@ -145,7 +146,7 @@ def _frame(has: int, n: int) -> int:
     return got
 
 
-def judge(message: str) -> tuple[str, list[str]]:
+def judge(message: str, words: list[str] | None = None) -> tuple[str, list[str]]:
     """What a masked message says by itself, and its words (of made-up candidates only).
 
     residue: a frame, and little besides; neutral: navigation, labels with codes, nothing but codes and signs; made up:
@@ -162,25 +163,36 @@ def judge(message: str) -> tuple[str, list[str]]:
         total = len(EAST.findall(message))
         frame = _frame(has | (THING if has & FAIL and covered * 2 >= total else 0), 9)
         return (RESIDUE if (frame or has & ASK and has & FAIL or has & ASK and covered * 2 >= total) and covered * 10 >= total * 4 else OPEN), []
-    if _TRACE.match(message):
+    if message.startswith("at ") and _TRACE.match(message):
         return NEUTRAL, []
-    outside = _QUOTED.sub(" ", message)
-    if outside != message and len(WORD.findall(outside)) >= 3:
-        message = outside
-    words = WORD.findall(_JOINED.sub(lambda m: m[1] + m[2], message))
+    if not QUOTES.isdisjoint(message):
+        outside = _QUOTED.sub(" ", message)
+        if outside != message and len(WORD.findall(outside)) >= 3:
+            message, words = outside, None
+    if _JOINED.search(message):
+        words = WORD.findall(_JOINED.sub(lambda m: m[1] + m[2], message))
+    elif words is None:
+        words = WORD.findall(message)
     if not words:
         return NEUTRAL, []
-    bits = [concepts(w) for w in words]
     has = asks = told = own = nav = odd = functions = 0
-    for b in bits:
+    for w in words:
+        b = concepts(w)
         has |= b
-        asks += bool(b & ASK)
-        odd += bool(b & ODD)
-        functions += bool(b & FUNCTION)
-        told += bool(b & TELLING)
-        nav += bool(b & NAV)
-        own += not b
+        if not b:
+            own += 1
+        elif b == FUNCTION:
+            functions += 1
+        else:
+            asks += b & ASK != 0
+            odd += b & ODD != 0
+            functions += b & FUNCTION != 0
+            told += b & TELLING != 0
+            nav += b & NAV != 0
     n = len(words)
+    if n >= 12 and told * 2 < own and functions and not odd:
+        # too much else is said for any frame
+        return OPEN, []
     lengthy = [w for w in words if len(w) >= 2]
     if odd * 2 >= n or (len(lengthy) >= 2 and len(set(lengthy)) * 2 <= len(lengthy)) or (odd and odd + told == n):
         return RESIDUE, []
