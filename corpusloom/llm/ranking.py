@@ -1,13 +1,19 @@
 """One ranking from scores of different scales, by distance to an ideal point.
 
-Within a request each score is turned so that more is better, winsorised at two quantiles, and divided by the length of
-its vector over the candidates. The ideal point has the best value of every score, the anti-ideal the worst. Distances
-to both are weighted, a score's weight being one over the distance between its own two extremes, so that each score
-spans the same way from worst to best whatever its range, offset or skew. Candidates are sorted by relative closeness,
-worst / (best + worst), ties by document_identity.
+Within a request each score is turned so that more is better, winsorised at two quantiles, measured from its mean, and
+divided by the length of its vector over the candidates (the root of the mean square, so that the number of candidates
+that have the score doesn't matter). The ideal point has the best value of every score, the anti-ideal the
+worst. Distances to both are weighted (all scores alike, if no weights are given) and candidates are sorted by relative
+closeness, worst / (best + worst), ties by document_identity.
+
+The length is what makes scores comparable: it takes range and unit out, as measuring from the mean takes the offset
+out and winsorising the tails. It isn't the range: of two scores with one range, that in which few candidates
+stand out tells these more apart than that in which half of all candidates are near the best.
 
 Quantiles are sketches and all sums combine before the shuffle, so a request with a third of the rows is aggregated in
-parallel; joins back are on (request, score), where adaptive execution splits a hot key.
+parallel; joins back are on (request, score), where adaptive execution splits a hot key. Ranks of whole requests are
+counted over sorted ranges of rows, so a large request is spread over tasks; the first n need no such thing, as the limit
+is applied before the shuffle.
 
 Defined cases: null, NaN and infinite values are missing, and a missing score says nothing about its candidate: the
 distances are means over the scores present. A score that is constant within a request says nothing about anyone. A
@@ -17,9 +23,11 @@ that isn't in the catalogue counts as better when higher. Rows without request o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.sources.shared import written
+
 RELEVANCE = "relevance"
 
 
@@ -45,25 +53,44 @@ def candidate_scores(features: DataFrame, selections: DataFrame, catalogue: Data
     )
 
 
-def ideal_point_ranking(scores: DataFrame, *, tail: float = 0.05, accuracy: int = 10_000) -> DataFrame:
-    """(request_identity, document_identity, closeness, rank) of every candidate of ``candidate_scores``."""
+def closeness(scores: DataFrame, *, tail: float = 0.05, accuracy: int = 10_000, weights: dict[str, float] | None = None) -> DataFrame:
+    """(request_identity, document_identity, closeness) of every candidate of ``candidate_scores``; 0 without any score."""
     by = ["request_identity", "score"]
     bounds = scores.groupBy(*by).agg(F.percentile_approx("value", [tail, 1 - tail], accuracy).alias("q"))
-    clipped = scores.join(bounds, by).withColumn("value", F.when(F.col("value").isNotNull(), F.greatest(F.element_at("q", 1), F.least("value", F.element_at("q", 2))))).drop("q")
-    norms = clipped.groupBy(*by).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    normed = clipped.join(norms, by).where("value is null or norm > 0")
-    r, worst, best = (F.col(c) / F.col("norm") for c in ("value", "lo", "hi"))
-    weight = F.when(best > worst, 1 / (best - worst))
-    toward = lambda point: F.sqrt(F.avg(F.pow(weight * (r - point), 2)))
-    # a score without weight is null here and takes no part in the means
+    low, high = F.element_at("q", 1), F.element_at("q", 2)
+    clipped = scores.join(bounds, by).select(*by, "document_identity", F.when(F.col("value").isNotNull(), F.greatest(low, F.least("value", high))).alias("value"))
+    lengths = clipped.groupBy(*by).agg(F.stddev_pop("value").alias("length"), F.avg("value").alias("mean"), F.max("value").alias("top"), F.min("value").alias("bottom"))
+    # a constant score has no length: it is null here and takes no part in the means
+    normed = clipped.join(lengths, by)
+    length = F.when((F.col("length") > 0) & (F.col("top") > F.col("bottom")), F.col("length"))
+    weight = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("score")], F.lit(1.0)) if weights else F.lit(1.0)
+    here, best, worst = ((F.col(c) - F.col("mean")) / length for c in ("value", "top", "bottom"))
+    counted = F.sum(F.when(here.isNotNull(), weight))
+    toward = lambda point: F.sqrt(F.sum(weight * F.pow(here - point, 2)) / counted)
     distances = normed.groupBy("request_identity", "document_identity").agg(toward(best).alias("from_best"), toward(worst).alias("from_worst"))
     both = F.col("from_best") + F.col("from_worst")
-    closeness = F.when(both > 0, F.col("from_worst") / both).when(both == 0, 0.5).otherwise(F.lit(0.0))
-    every = scores.select("request_identity", "document_identity").distinct()
-    ranked = every.join(distances, ["request_identity", "document_identity"], "left").select("request_identity", "document_identity", closeness.alias("closeness"))
-    return ranked.withColumn("rank", F.expr("row_number() over (partition by request_identity order by closeness desc, document_identity)"))
+    return distances.select("request_identity", "document_identity", F.when(both > 0, F.col("from_worst") / both).when(F.coalesce(both == 0, F.lit(False)), 0.5).otherwise(F.lit(0.0)).alias("closeness"))
+
+
+def ideal_point_ranking(scores: DataFrame, **options) -> DataFrame:
+    """(request_identity, document_identity, closeness, rank) of every candidate.
+
+    Rows are sorted in ranges over all tasks and numbered in place; the place of a request's first row in each range then
+    gives the ranks, so no task holds a whole request.
+    """
+    rows = closeness(scores, **options)
+    order = [F.asc("request_identity"), F.desc("closeness"), F.asc("document_identity")]
+    placed = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "ranking")
+    part = F.shiftrightunsigned("at", 33)
+    runs = placed.groupBy("request_identity", part.alias("part")).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("request_identity").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each request and range
+    starts = runs.select("request_identity", "part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    ranked = placed.withColumn("part", part).join(starts, ["request_identity", "part"])
+    return ranked.select("request_identity", "document_identity", "closeness", (F.col("before") + F.col("at") - F.col("first") + 1).alias("rank"))
 
 
-def first_candidates(scores: DataFrame, n: int = 3) -> DataFrame:
-    """(request_identity, document_identity, rank, closeness) of the first n; the limit is applied before the shuffle."""
-    return ideal_point_ranking(scores).where(F.col("rank") <= n)
+def first_candidates(scores: DataFrame, n: int = 3, **options) -> DataFrame:
+    """(request_identity, document_identity, closeness, rank) of the first n; the limit is applied before the shuffle."""
+    rank = F.expr("row_number() over (partition by request_identity order by closeness desc, document_identity)")
+    return closeness(scores, **options).withColumn("rank", rank).where(F.col("rank") <= n)

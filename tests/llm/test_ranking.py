@@ -45,3 +45,21 @@ def test_first_three_and_empty(scores):
     f = [("r", f"{i}", "up", float(i), True) for i in range(9)]
     assert _order(R.first_candidates(scores(f))) == ["8", "7", "6"]
     assert R.first_candidates(scores([])).count() == 0
+
+
+def test_the_length_counts_beside_the_range(scores):
+    # both scores range from 0 to 1; "up" tells a apart from all others, in "up2" half of the candidates are as good as b
+    names = [f"c{i}" for i in range(8)]
+    up = {"a": 1.0, "b": 0.0} | dict.fromkeys(names, 0.0)
+    up2 = {"a": 0.0, "b": 1.0} | {n: float(i % 2) for i, n in enumerate(names)}
+    f = [("r", d, n, v, True) for n, vs in (("up", up), ("up2", up2)) for d, v in vs.items()]
+    got = {r.document_identity: r.closeness for r in R.ideal_point_ranking(scores(f)).collect()}
+    assert got["a"] > got["b"] + 0.1  # distances by range alone would make them equal
+    even = {r.document_identity: r.closeness for r in R.ideal_point_ranking(scores(f), weights={"f:up": 0.0}).collect()}
+    assert even["b"] == 1.0 and even["a"] == 0.0
+
+
+def test_ranks_are_those_of_a_window(scores):
+    f = [(f"r{i % 3 if i % 2 else 0}", f"{i:04}", "up", float(i * 37 % 101), True) for i in range(600)]
+    ranked = R.ideal_point_ranking(scores(f)).selectExpr("*", "row_number() over (partition by request_identity order by closeness desc, document_identity) as w")
+    assert ranked.count() == 600 and ranked.where("rank <> w").count() == 0
