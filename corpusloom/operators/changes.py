@@ -173,7 +173,7 @@ def replay(operations: DataFrame, requests: DataFrame, *, closed: bool = True, s
         committed_changes(reached, requests)
         .where("effective and index_name is not null")
         .groupBy("index_name", "document_id")
-        .agg(F.max(F.struct("sequence_number", "is_delete")).alias("last"))
-        .where("not last.is_delete")
-        .select("index_name", "document_id", F.col("last.sequence_number").alias("sequence_number"))
+        .agg(F.max(F.when(~F.col("is_delete"), F.col("sequence_number"))).alias("put"), F.max(F.when(F.col("is_delete"), F.col("sequence_number"))).alias("gone"))
+        .where("put > gone or gone is null")
+        .select("index_name", "document_id", F.col("put").alias("sequence_number"))
     )

@@ -1,7 +1,7 @@
 """Scratch space that every executor can reach.
 
-The folder is the one named by ``spark.checkpoint.dir``. Where a session names none (tests, a laptop), a folder
-below the session's warehouse is used and set, so that all later calls agree on it. Files are handled through
+The folder is the one named by ``spark.checkpoint.dir``. Where a session on one machine names none (tests, a laptop), a
+folder below the session's warehouse is used and set, so that all later calls agree on it; a cluster must name one. Files are handled through
 Hadoop's FileSystem, so the folder may be on any store that Spark can reach.
 """
 
@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's shared folder; set below the warehouse if the session names none."""
     at = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError(f"set {SETTING} to a folder that all executors can reach")
         at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.conf.set(SETTING, at)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -37,6 +39,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what ``written`` wrote for a frame that nobody reads any more."""
+    for file in df.inputFiles()[:1]:
+        delete(df.sparkSession, file.rpartition("/")[0])
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -59,17 +67,40 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def write_text_atomically(spark: SparkSession, path: str, text: str) -> None:
-    """Write beside the target, then rename: a reader sees the whole file or none. Fails if the target exists."""
+    """Write a small file that a reader sees whole or not at all. Fails if the target exists.
+
+    The target is claimed by creating ``path.claim`` without overwriting, which stores offer as one step, so of two
+    writers one fails here; the text is then written beside the target and renamed into place. A claim older than
+    the target's writer, left by a crash, is cleared by ``release``.
+    """
     fs, p, jvm = _fs(spark, path)
-    tmp = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
-    out = fs.create(tmp, False)
+    if fs.exists(p):
+        raise FileExistsError(path)
+    claim = jvm.org.apache.hadoop.fs.Path(f"{path}.claim")
     try:
-        out.write(bytearray(text.encode("utf-8")))
+        fs.create(claim, False).close()
+    except Exception as e:
+        raise FileExistsError(path) from e
+    try:
+        if fs.exists(p):  # the claim of a writer that finished before this one began
+            raise FileExistsError(path)
+        tmp = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+        out = fs.create(tmp, False)
+        try:
+            out.write(bytearray(text.encode("utf-8")))
+        finally:
+            out.close()
+        if not fs.rename(tmp, p):
+            fs.delete(tmp, False)
+            raise FileExistsError(path)
     finally:
-        out.close()
-    if fs.exists(p) or not fs.rename(tmp, p):
-        fs.delete(tmp, False)
-        raise FileExistsError(path)
+        fs.delete(claim, False)
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Clear the claim on a target whose writer died before it wrote."""
+    fs, _, jvm = _fs(spark, path)
+    fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}.claim"), False)
 
 
 def list_names(spark: SparkSession, path: str) -> list[str]:

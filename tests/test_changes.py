@@ -116,3 +116,25 @@ def test_round_trip_against_a_plain_replay(make, rows):
             state[doc] = seq
     rng.shuffle(ops)
     assert rows(changes.replay(*make(ops))) == sorted(("i", d, s) for d, s in state.items())
+
+
+def test_only_affected_partitions_are_rewritten_and_a_crash_is_no_obstacle(spark, tmp_path, monkeypatch):
+    from corpusloom.operators.delivery import WinnerStore
+    from corpusloom.sources import shared
+
+    row = lambda i, d: (i, i * 31, d)
+    make = lambda rows: spark.createDataFrame(rows, "h1 long, h2 long, delivery_id long")
+    store = WinnerStore(spark, str(tmp_path / "s"), rows_per_partition=10, buckets=4)
+    store.ingest(make([row(i, i) for i in range(100)]))
+    before = store._manifest()["parts"]
+    assert len(before) == 10
+    with monkeypatch.context() as m:
+        m.setattr(shared, "write_text_atomically", lambda *a: (_ for _ in ()).throw(OSError("crash")))
+        with pytest.raises(OSError):
+            store.ingest(make([row(5, 200), row(300, 201)]))
+    store.ingest(make([row(5, 200), row(300, 201), row(72, 202)]))
+    after = store._manifest()["parts"]
+    assert {p for p in before if before[p] != after[p]} == {"0", "7"} and set(after) - set(before) == {"20"}
+    assert sorted(r.delivery_id for r in store.dropped().collect()) == [200, 202]
+    assert store.winners().count() == 101
+    assert store.vacuum() and store.winners().count() == 101 and not store.vacuum()
