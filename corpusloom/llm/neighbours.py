@@ -8,8 +8,11 @@ are reranked by exact cosine. All queries of a task move through the queue in st
 scored as blocks: the queries that visit a leaf times its members, one matrix product.
 
 Distribution. A shard holds at most about ``shard_values`` numbers (rows times dimensions, 32 MB) of one field and is
-searched by one task, which holds them and what is looked up in them once. Fields that are larger are cut by a routing tree of the same kind, fitted on a bounded sample (``sample_rows`` for each of its
-cells); every vector is a member of one shard, and is looked up in the ``routes`` shards that are nearest by the same
+searched by one task, which holds them and what is looked up in them once. In fields that are larger, equal vectors are
+first collapsed to one (an aggregation, so that a vector with a third of all rows is one row before anything is routed),
+and the rest is cut by a routing tree of the same kind. Its upper levels are fitted on the driver, on a sample of
+``driver_rows`` at most; the levels below, where there are more cells than that sample can part, one by one by quantiles
+of a sample (``sample_rows`` for each cell) that stays distributed; every vector is a member of one shard, and is looked up in the ``routes`` shards that are nearest by the same
 priority. A hot field thus costs more shards, not a larger task. Only links travel to the final merge. Nearest shards
 are enough for links of high cosine; plain neighbours lie in any shard, so with ``routes=None`` a vector that asks is
 looked up in every one, whatever their number. That suits a small share of asking rows: each task holds them all.
@@ -22,14 +25,18 @@ in cosine go to the lower id. A field with fewer than k+1 vectors gives as many
 
 from __future__ import annotations
 
+import heapq
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.sources.shared import written
+
 LINK = "query_id long, neighbour_id long, cosine double"
 _LINK = pa.schema([("query_id", pa.int64()), ("neighbour_id", pa.int64()), ("cosine", pa.float64())])
 
@@ -40,7 +47,7 @@ class Search:
 
     k: neighbours of each vector. min_cosine: links below it aren't wanted (None: all are). trees, leaf_rows, probes:
     the forest of a shard, and the leaves a query visits over all trees. shard_values, routes (None: every shard),
-    sample_rows: see above.
+    sample_rows, driver_rows: see above.
     """
 
     k: int = 10
@@ -51,6 +58,7 @@ class Search:
     shard_values: int = 1 << 23
     routes: int | None = 4
     sample_rows: int = 64
+    driver_rows: int = 1 << 16
     seed: int = 7
 
 
@@ -288,89 +296,117 @@ def usable_vectors(vectors: DataFrame, fields: DataFrame) -> DataFrame:
     return rows.join(named, ["index_name", "field_name"]).where(F.size("query_vector") == F.col("dims")).select("field_key", "dims", "query_id", "query_vector")
 
 
-def _plan(rows: DataFrame, s: Search) -> dict[str, tuple[int, int, Tree | None]]:
-    """For each field its dimensions, number of rows and routing tree.
+#: The trees of all fields must fit into this many bytes, as every executor gets them.
+TREES_BYTES = 1 << 29
 
-    Fields come from the catalogue, so there are few. Only counts come to the driver, and of the fields that need
-    several shards a sample of sample_rows vectors for each shard.
-    """
-    sizes = {r.field_key: (r.dims, r.n) for r in rows.groupBy("field_key", "dims").agg(F.count("*").alias("n")).collect()}
-    large = {k: math.ceil(math.log2(n * d / s.shard_values)) for k, (d, n) in sizes.items() if n * d > s.shard_values}
-    trees: dict[str, Tree] = {}
-    for key, depth in large.items():
-        dims, n = sizes[key]
-        want = s.sample_rows << depth
-        sample = rows.where(F.col("field_key") == key).sample(min(1.0, 1.2 * want / n), seed=s.seed).select("query_vector").limit(2 * want).toArrow()
-        unit, good = _unit(sample.column(0), dims)
-        trees[key], _ = Tree.fit(unit, np.flatnonzero(good), depth, np.random.default_rng(s.seed + 1))
-    return {k: (dims, n, trees.get(k)) for k, (dims, n) in sizes.items()}
+
+def _node_of(tree: Tree, unit: np.ndarray, levels: int) -> np.ndarray:
+    at, node = unit @ tree.directions, np.zeros(len(unit), np.int64)
+    for level in range(levels):
+        node = 2 * node + (at[:, level] > tree.cuts[level][node])
+    return node
+
+
+def _routing_tree(rows: DataFrame, n: int, dims: int, depth: int, s: Search) -> Tree:
+    """The routing tree of one field's (query_vector) rows."""
+    spark, rng = rows.sparkSession, np.random.default_rng(s.seed + 1)
+    near = min(depth, max(1, int(math.log2(max(2, s.driver_rows // s.sample_rows)))))
+    want = s.sample_rows << near
+    sample = rows.sample(min(1.0, 1.2 * want / n), seed=s.seed).select("query_vector").limit(2 * want).toArrow()
+    unit, good = _unit(sample.column(0), dims)
+    tree, _ = Tree.fit(unit, np.flatnonzero(good), near, rng)
+    if near == depth:
+        return tree
+    more = rng.standard_normal((dims, depth - near)).astype(np.float32)
+    tree = Tree(np.concatenate([tree.directions, more / np.linalg.norm(more, axis=0, keepdims=True)], axis=1), tree.cuts)
+    spread = written(rows.sample(min(1.0, 1.2 * (s.sample_rows << depth) / n), seed=s.seed + 2).select("query_vector"), "routing-sample")
+    for level in range(near, depth):
+        known = spark.sparkContext.broadcast(tree)
+
+        def project(batches, level=level, known=known):
+            for batch in batches:
+                unit, good = _unit(batch.column(0), dims)
+                unit, t = unit[good], known.value
+                yield pa.RecordBatch.from_arrays([pa.array(_node_of(t, unit, level)), pa.array((unit @ t.directions[:, level]).astype(np.float64))], names=["node", "at"])
+
+        # one number for each cell of the level: no more than there are shards
+        cuts = spread.mapInArrow(project, "node long, at double").groupBy("node").agg(F.percentile_approx("at", 0.5, 1000).alias("cut")).collect()
+        cut = np.zeros(1 << level, np.float32)
+        for r in cuts:
+            cut[r.node] = r.cut
+        tree = Tree(tree.directions, [*tree.cuts, cut])
+        known.unpersist()
+    return tree
 
 
 def _spread(spark, weights: list[float], partitions: int) -> list[int]:
-    """A key for each shard such that hashing puts the shards into ``partitions`` tasks, heavy ones apart."""
+    """A key for each shard such that hashing puts the shards into ``partitions`` tasks, heavy ones apart.
+
+    Where there are thousands of shards, chance spreads them as well, and a shard's number is its key.
+    """
+    if partitions > 1 << 12:
+        return list(range(len(weights)))
     keys: dict[int, list[int]] = {}
     for r in spark.range(64 * partitions).selectExpr("cast(id as int) as k", f"pmod(hash(cast(id as int)), {partitions}) as p").collect():
         keys.setdefault(r.p, []).append(r.k)
-    load, out = [0.0] * partitions, [0] * len(weights)
+    out, heap = [0] * len(weights), [(0.0, p) for p in sorted(keys)]
     for i in sorted(range(len(weights)), key=lambda i: -weights[i]):
-        p = min((p for p in range(partitions) if keys.get(p)), key=lambda p: load[p])
-        load[p] += weights[i]
+        load, p = heapq.heappop(heap)
         out[i] = keys[p].pop()
+        if keys[p]:
+            heapq.heappush(heap, (load + weights[i], p))
     return out
 
 
+def _identified(rows: DataFrame) -> DataFrame:
+    """The usable rows with rid, a 64-bit identity of field and vector that equal vectors of a field share."""
+
+    def identify(batches):
+        for batch in batches:
+            dims = batch.column("dims").to_numpy()
+            for d in np.unique(dims):
+                mine = batch.filter(pa.array(dims == d))
+                unit, good = _unit(mine.column("query_vector"), int(d))
+                mine = mine.filter(pa.array(good))
+                if not mine.num_rows:
+                    continue
+                h = _identities(unit[good]).view(np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([*mine.columns, pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=[*mine.schema.names, "h1", "h2"])
+
+    schema = "field_key string, dims int, query_id long, query_vector array<float>, asks boolean, h1 long, h2 long"
+    hashed = rows.select("field_key", F.col("dims").cast("int").alias("dims"), "query_id", "query_vector", "asks").mapInArrow(identify, schema)
+    return written(hashed.withColumn("rid", F.xxhash64("field_key", "h1", "h2")).drop("h1", "h2"), "identified")
+
+
 def links(vectors: DataFrame, fields: DataFrame, s: Search, asks_sql: str = "true") -> DataFrame:
-    """(query_id, neighbour_id, cosine): the first k neighbours of every vector for which asks_sql holds.
+    """(query_id, neighbour_id, cosine, rank): the first k neighbours of every vector for which asks_sql holds.
 
     Empty tables, and tables without a usable vector, give no rows.
     """
     spark = vectors.sparkSession
-    rows = usable_vectors(vectors, fields)
-    plan = _plan(rows, s)
-    if not plan:
-        return spark.createDataFrame([], LINK)
-    shards = [(key, leaf) for key, (_, _, tree) in plan.items() for leaf in range(1 << tree.depth if tree else 1)]
-    weights = [plan[k][1] / (1 << plan[k][2].depth if plan[k][2] else 1) for k, _ in shards]
-    slots = _spread(spark, weights, len(shards))
-    first = {key: next(i for i, x in enumerate(shards) if x[0] == key) for key in plan}
-    dims_of = {k: d for k, (d, _, _) in plan.items()}
-    trees = {k: t for k, (_, _, t) in plan.items() if t}
-
-    asked = rows.withColumn("asks", F.expr(asks_sql))
-    columns = "shard int, dims int, query_id long, home boolean, asks boolean, query_vector array<float>"
-    slot_of = F.create_map(*[F.lit(x) for k in plan for x in (k, slots[first[k]])])
-    plain = asked.where(~F.col("field_key").isin(*trees)) if trees else asked
-    flat = plain.select(slot_of[F.col("field_key")].alias("shard"), "dims", "query_id", F.lit(True).alias("home"), "asks", "query_vector")
-    if trees:
-
-        def route(batches):
-            for batch in batches:
-                keys = batch.column("field_key").to_numpy(zero_copy_only=False)
-                for key in np.unique(keys):
-                    tree = trees[key]
-                    mine = batch.filter(pa.array(keys == key))
-                    unit, good = _unit(mine.column("query_vector"), dims_of[key])
-                    mine, unit = mine.filter(pa.array(good)), unit[good]
-                    if not len(unit):
-                        continue
-                    asks, leaves = mine.column("asks").to_numpy(zero_copy_only=False), 1 << tree.depth
-                    if s.routes is None or s.routes >= leaves:  # every shard, from the own one on; no queue is needed
-                        to = (best_leaves([tree], unit, 1) + np.arange(leaves)) % leaves
-                    else:
-                        to = best_leaves([tree], unit, s.routes)
-                    for r in range(to.shape[1]):
-                        sent = mine if r == 0 else mine.filter(pa.array(asks))
-                        leaf = to[:, r] if r == 0 else to[asks, r]
-                        n = len(leaf)
-                        shard = np.array([slots[first[key] + x] for x in leaf], np.int32)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(shard), pa.array(np.full(n, dims_of[key], np.int32)), sent.column("query_id"), pa.array(np.full(n, r == 0)), sent.column("asks"), sent.column("query_vector")],
-                            names=["shard", "dims", "query_id", "home", "asks", "query_vector"],
-                        )
-
-        routed = asked.where(F.col("field_key").isin(*trees)).select("field_key", "query_id", "asks", "query_vector").mapInArrow(route, columns)
-        flat = flat.unionByName(routed)
+    rows = usable_vectors(vectors, fields).withColumn("asks", F.expr(asks_sql))
+    # fields come from the catalogue, so there are few
+    sizes = {r.field_key: (r.dims, r.n) for r in rows.groupBy("field_key", "dims").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return spark.createDataFrame([], LINK + ", rank int")
+    large = [k for k, (d, n) in sizes.items() if n * d > s.shard_values]
+    small = {k: v for k, v in sizes.items() if k not in large}
+    found = []
+    if small:
+        keys = list(small)
+        slots = _spread(spark, [small[k][1] for k in keys], len(keys))
+        slot_of = F.create_map(*[F.lit(x) for kv in zip(keys, slots) for x in kv])
+        flat = rows.where(F.col("field_key").isin(keys)).select(slot_of[F.col("field_key")].alias("shard"), "dims", "query_id", F.lit(True).alias("home"), "asks", "query_vector")
+        found.append(_search(flat, len(keys), s))
+    if large:
+        found.append(_large_fields(rows.where(F.col("field_key").isin(large)), large, s))
+    best = reduce(DataFrame.unionByName, found).groupBy("query_id", "neighbour_id").agg(F.max("cosine").alias("cosine"))
+    # a window holds at most k links for each shard that a query was looked up in
+    rank = F.expr("row_number() over (partition by query_id order by cosine desc, neighbour_id)")
+    return best.withColumn("rank", rank).where(F.col("rank") <= s.k)
+
 
+def _search(flat: DataFrame, shards: int, s: Search) -> DataFrame:
     def look_up(table: pa.Table) -> pa.Table:
         dims = table.column("dims")[0].as_py()
         unit, good = _unit(table.column("query_vector"), dims)
@@ -379,11 +415,63 @@ def links(vectors: DataFrame, fields: DataFrame, s: Search, asks_sql: str = "tru
         parts = zip(*found) if found else ([], [], [])
         return pa.Table.from_arrays([pa.array(np.concatenate(p) if len(p) else [], t) for p, t in zip(parts, _LINK.types)], schema=_LINK)
 
-    per_shard = flat.repartition(len(shards), "shard").groupBy("shard").applyInArrow(look_up, LINK)
-    best = per_shard.groupBy("query_id", "neighbour_id").agg(F.max("cosine").alias("cosine"))
-    # a window holds at most k links for each shard that a query was looked up in
-    rank = F.expr("row_number() over (partition by query_id order by cosine desc, neighbour_id)")
-    return best.withColumn("rank", rank).where(F.col("rank") <= s.k)
+    return flat.repartition(shards, "shard").groupBy("shard").applyInArrow(look_up, LINK)
+
+
+def _large_fields(rows: DataFrame, keys: list[str], s: Search) -> DataFrame:
+    """(query_id, neighbour_id, cosine) of fields that take several shards, a few more than the first k of each vector."""
+    spark = rows.sparkSession
+    identified = _identified(rows)
+    vectors = identified.groupBy("field_key", "dims", "rid").agg(F.first("query_vector").alias("query_vector"), F.max("asks").alias("asks"))
+    vectors = written(vectors, "distinct-vectors")
+    sizes = {r.field_key: (r.dims, r.n) for r in vectors.groupBy("field_key", "dims").agg(F.count("*").alias("n")).collect()}
+    trees, first, weights = {}, {}, []
+    for key, (dims, n) in sizes.items():
+        depth = max(0, math.ceil(math.log2(n * dims / s.shard_values)))
+        trees[key] = _routing_tree(vectors.where(F.col("field_key") == key), n, dims, depth, s) if depth else None
+        first[key] = len(weights)
+        weights += [n / (1 << depth)] * (1 << depth)
+    size = sum(t.directions.nbytes + sum(c.nbytes for c in t.cuts) for t in trees.values() if t)
+    if size > TREES_BYTES:
+        raise ValueError(f"routing trees of {size} bytes; larger shards (shard_values) make smaller trees")
+    shared = spark.sparkContext.broadcast((trees, first, np.array(_spread(spark, weights, len(weights)), np.int32), {k: d for k, (d, _) in sizes.items()}))
+
+    def route(batches):
+        trees, first, slots, dims_of = shared.value
+        for batch in batches:
+            keys = batch.column("field_key").to_numpy(zero_copy_only=False)
+            for key in np.unique(keys):
+                tree, mine = trees[key], batch.filter(pa.array(keys == key))
+                unit, _ = _unit(mine.column("query_vector"), dims_of[key])
+                asks, leaves = mine.column("asks").to_numpy(zero_copy_only=False), 1 << tree.depth if tree else 1
+                if tree is None:
+                    to = np.zeros((len(unit), 1), np.int64)
+                elif s.routes is None or s.routes >= leaves:  # every shard, from the own one on; no queue is needed
+                    to = (best_leaves([tree], unit, 1) + np.arange(leaves)) % leaves
+                else:
+                    to = best_leaves([tree], unit, s.routes)
+                for r in range(to.shape[1]):
+                    sent = mine if r == 0 else mine.filter(pa.array(asks))
+                    leaf = to[:, r] if r == 0 else to[asks, r]
+                    n = len(leaf)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(slots[first[key] + leaf]), pa.array(np.full(n, dims_of[key], np.int32)), sent.column("rid"), pa.array(np.full(n, r == 0)), sent.column("asks"), sent.column("query_vector")],
+                        names=["shard", "dims", "query_id", "home", "asks", "query_vector"],
+                    )
+
+    flat = vectors.select("field_key", "rid", "asks", "query_vector").mapInArrow(route, "shard int, dims int, query_id long, home boolean, asks boolean, query_vector array<float>")
+    near = _search(flat, len(weights), s).groupBy("query_id", "neighbour_id").agg(F.max("cosine").alias("cosine"))
+    # back from distinct vectors to ids: the k+1 lowest ids of each, itself being its own first neighbour
+    lowest = identified.select("rid", "query_id").distinct().withColumn("place", F.expr("row_number() over (partition by rid order by query_id)")).where(F.col("place") <= s.k + 1).drop("place")
+    asking = identified.where("asks").select("query_id", "rid").distinct()
+    own = asking.select(F.col("rid").alias("query_rid")).distinct().withColumn("neighbour_rid", F.col("query_rid")).withColumn("cosine", F.lit(1.0))
+    pairs = near.select(F.col("query_id").alias("query_rid"), F.col("neighbour_id").alias("neighbour_rid"), "cosine").unionByName(own)
+    members = pairs.join(lowest.select(F.col("rid").alias("neighbour_rid"), F.col("query_id").alias("neighbour_id")), "neighbour_rid")
+    # one list of k+1 for each distinct vector; an id takes those that aren't itself
+    place = F.expr("row_number() over (partition by query_rid order by cosine desc, neighbour_id)")
+    lists = members.withColumn("place", place).where(F.col("place") <= s.k + 1).groupBy("query_rid").agg(F.collect_list(F.struct("cosine", "neighbour_id")).alias("near"))
+    out = asking.join(lists, asking.rid == lists.query_rid).select("query_id", F.explode("near").alias("n"))
+    return out.where("n.neighbour_id <> query_id").select("query_id", F.col("n.neighbour_id").alias("neighbour_id"), F.col("n.cosine").alias("cosine"))
 
 
 def similar_pairs(vectors: DataFrame, fields: DataFrame, s: Search) -> DataFrame:

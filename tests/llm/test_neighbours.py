@@ -79,3 +79,23 @@ def test_repeated_ids_and_equal_vectors(frames, rows):
 def test_empty_tables(frames, rows):
     assert rows(N.similar_pairs(*frames([]), N.Search(min_cosine=0.9))) == []
     assert rows(N.similar_pairs(*frames([(1, "i", "v", [1.0] * 8)]), N.Search(min_cosine=0.9))) == []
+
+
+def test_a_vector_with_half_of_all_rows_is_one_row_before_routing(frames, monkeypatch):
+    rng = np.random.default_rng(5)
+    hot = rng.standard_normal(8)
+    data = [(i, (hot * (1 + i % 3)).tolist() if i % 2 else rng.standard_normal(8).tolist()) for i in range(2400)]
+    seen, search = [], N._search
+    monkeypatch.setattr(N, "_search", lambda flat, n, s: seen.append([r["count"] for r in flat.groupBy("shard").count().collect()]) or search(flat, n, s))
+    # upper levels of the routing tree from 128 rows on the driver, the lower ones from distributed quantiles
+    s = N.Search(k=5, shard_values=800, sample_rows=32, driver_rows=128, routes=None)
+    got = {}
+    for r in N.links(*frames([(q, "i", "v", v) for q, v in data]), s, "query_id % 100 in (0, 1)").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.neighbour_id, r.cosine))
+    assert len(seen) == 1 and len(seen[0]) == 16 and max(seen[0]) < 250  # 75 of 1,201 distinct vectors, and the 13 that ask
+    x = np.array([v for _, v in data])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for q in (*range(0, 2400, 100), *range(1, 2400, 100)):
+        cosine = np.round(x @ x[q], 6)
+        want = [int(o) for o in np.lexsort((np.arange(len(x)), -cosine)) if o != q][:5]
+        assert [n for _, n, _ in sorted(got[q])] == want
