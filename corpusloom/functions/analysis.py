@@ -8,7 +8,8 @@ tables run in Python, on distinct terms (see ``stemming``). A null text gives no
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
+import unicodedata
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -150,9 +151,28 @@ def of_type(types: Sequence[str], kept: bool = True) -> Tokens:
     return lambda tokens: F.filter(tokens, lambda t: token_type(t).isin(*types) if kept else ~token_type(t).isin(*types))
 
 
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
-fold_accents = each(lambda t: F.translate(t, ACCENTED, PLAIN))
+@cache
+def _marks() -> tuple[str, str]:
+    """From Unicode's decompositions: the letters that carry marks and their plain ones, then the marks themselves."""
+    marked, plain, marks = [], [], []
+    for c in map(chr, range(0x80, 0x10000)):
+        if unicodedata.category(c) == "Mn":
+            marks.append(c)
+            continue
+        parts = unicodedata.normalize("NFD", c)
+        bare = unicodedata.normalize("NFC", "".join(p for p in parts if unicodedata.category(p) != "Mn"))
+        if bare != c and len(bare) == 1 and len(parts) > 1:
+            marked.append(c)
+            plain.append(bare)
+    return "".join(marked + marks), "".join(plain)
+
+
+def without_marks(text: Column) -> Column:
+    """Letters without their marks, whatever the script; a mark that stands by itself goes too."""
+    return F.translate(text, *_marks())
+
+
+fold_accents = each(without_marks)
 
 
 def decimal_digits(tokens: Column) -> Column:
@@ -177,20 +197,43 @@ def elision(articles: Sequence[str] = ARTICLES) -> Tokens:
     return replace_in_tokens(rf"^(?i:{'|'.join(articles)})['’](?=.)", "")
 
 
-def word_delimiter(case_change: bool = True, numerics: bool = True, possessive: bool = True, original: bool = False, catenate_all: bool = False) -> Tokens:
-    """Split tokens at punctuation, case changes and between letters and digits."""
+def word_delimiter(
+    case_change: bool = True,
+    numerics: bool = True,
+    possessive: bool = True,
+    original: bool = False,
+    catenate_all: bool = False,
+    word_parts: bool = True,
+    number_parts: bool = True,
+    catenate_words: bool = False,
+    catenate_numbers: bool = False,
+) -> Tokens:
+    """Split tokens at punctuation, case changes and between letters and digits.
+
+    In this order: the parts, all word parts as one, all number parts as one, all parts as one, the token itself. A token
+    of which nothing would remain stays.
+    """
     case = r"\p{Lu}?\p{Ll}+|\p{Lu}+(?!\p{Ll})|\p{Lo}+" if case_change else r"\p{L}+"
     part = rf"{case}|\p{{Nd}}+" if numerics else (rf"{case}|\p{{Nd}}+" if case_change else r"[\p{L}\p{Nd}]+")
 
     def one(t: Column) -> Column:
+        none = F.array().cast("array<string>")
         bare = F.regexp_replace(t, r"['’][sS]?$", "") if possessive else t
         parts = F.regexp_extract_all(bare, F.lit(f"({part})"), F.lit(1))
-        out = [parts]
+        number = lambda x: x.rlike(r"^\p{Nd}+$")
+        joined = lambda xs, least: F.when(F.size(xs) >= least, F.array(F.array_join(xs, ""))).otherwise(none)
+        kept = parts if word_parts and number_parts else F.filter(parts, lambda x: number(x) if number_parts else ~number(x) if word_parts else F.lit(False))
+        out = [kept]
+        if catenate_words:
+            out.append(joined(F.filter(parts, lambda x: ~number(x)), 2))
+        if catenate_numbers:
+            out.append(joined(F.filter(parts, number), 2))
         if catenate_all:
-            out.append(F.when(F.size(parts) > 1, F.array(F.array_join(parts, ""))).otherwise(F.array().cast("array<string>")))
+            out.append(joined(parts, 2))
         if original:
-            out.append(F.when((F.size(parts) != 1) | (F.element_at(parts, 1) != t), F.array(t)).otherwise(F.array().cast("array<string>")))
-        return F.concat(*out)
+            out.append(F.when((F.size(parts) != 1) | (F.element_at(parts, 1) != t), F.array(t)).otherwise(none))
+        made = F.concat(*out)
+        return F.when(F.size(made) > 0, made).otherwise(F.array(t)) if not (word_parts and number_parts) else made
 
     return lambda tokens: F.flatten(F.transform(tokens, one))
 
@@ -239,16 +282,45 @@ def common_grams(common: Sequence[str], sep: str = "_") -> Tokens:
 
 
 def synonyms(mapping: dict[str, Sequence[str]]) -> Tokens:
-    """Tokens as they are, then the replacements of those that have any."""
+    """Tokens as they are, then the replacements of those that have any.
+
+    A key may be several words; at each place the longest key counts, and its words begin no other one.
+    """
+    longest = max((len(k.split()) for k in mapping), default=1)
 
     def out(tokens: Column) -> Column:
-        table = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
-        found = F.filter(F.transform(tokens, lambda t: F.try_element_at(table, t)), lambda x: x.isNotNull())
-        return F.concat(tokens, F.flatten(found))
+        table = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(" ".join(k.split())), F.array(*[F.lit(s) for s in v]))])
+        if longest == 1:
+            found = F.filter(F.transform(tokens, lambda t: F.try_element_at(table, t)), lambda x: x.isNotNull())
+            return F.concat(tokens, F.flatten(found))
+
+        def match(i: Column) -> Column:
+            """The longest key at a place, as its length and replacements; null if there is none."""
+            options = []
+            for n in range(longest, 0, -1):
+                phrase = F.when(i + n <= F.size(tokens), F.array_join(F.slice(tokens, i + 1, F.lit(n)), " "))
+                values = F.try_element_at(table, phrase)
+                options.append(F.when(values.isNotNull(), F.struct(F.lit(n).alias("n"), values.alias("values"))))
+            return F.coalesce(*options)
+
+        places = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
+        hits = F.filter(F.transform(places, lambda i: F.struct(i.alias("i"), match(i).alias("m"))), lambda h: h["m"].isNotNull())
+        start = F.struct(F.lit(0).alias("free"), F.array().cast("array<string>").alias("made"))
+
+        def step(acc: Column, h: Column) -> Column:
+            taken = F.struct((h["i"] + h["m"]["n"]).alias("free"), F.concat(acc["made"], h["m"]["values"]).alias("made"))
+            return F.when(h["i"] >= acc["free"], taken).otherwise(acc)
+
+        return F.concat(tokens, F.aggregate(hits, start, step, lambda acc: acc["made"]))
 
     return out
 
 
+def each_but(kept: Sequence[str], fn: Callable[[Column], Column]) -> Tokens:
+    """A word function on all tokens but the marked ones, which stay as they are."""
+    return each(lambda t: F.when(t.isin(*kept), t).otherwise(fn(t)))
+
+
 def unique(tokens: Column) -> Column:
     """Each token once, where it first stands."""
     return F.array_distinct(tokens)

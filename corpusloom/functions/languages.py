@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from corpusloom.functions import analysis as an
+from corpusloom.functions import stemming
 
 # --- fixed values: stop words; endings in the order they are tried, a=b replacing a by b ---
 STOP_BY_LANGUAGE = {
@@ -56,7 +60,23 @@ def _stemmer(language: str, **options):
     return an.suffix_stemmer([an.ending_rules(step) for step in ENDINGS[language]], **options)
 
 
+# --- fixed values: Arabic articles, then single letters, before a word; endings behind it ---
+ARABIC_FRONT = ("وال بال كال فال ال", "و ف ب ل ك س")
+ARABIC_END = "تين ين ون ات ان تا ية يا ها هم هن كم نا ني تم تن ة ت ي ا"
+# --- end of fixed values ---
+
+
+def stem_arabic(word: Column) -> Column:
+    """One article and one letter go from the front if three letters remain, one ending if two do."""
+    out = word
+    for front in ARABIC_FRONT:
+        out = F.regexp_replace(out, f"^(?:{'|'.join(front.split())})(?=.{{3,}}$)", "")
+    out = F.regexp_replace(out, f"^(.{{2,}}?)(?:{'|'.join(ARABIC_END.split())})$", "$1")
+    return F.when(F.length(word) <= 2, word).otherwise(out)
+
+
 STEMMERS = {
+    "ar": stem_arabic,
     "fr": an.stem_french,
     "de": an.stem_german,
     "es": _stemmer("es", guard=3),
@@ -67,16 +87,24 @@ STEMMERS = {
 }
 
 
-def language_analyser(language: str) -> an.Tokens:
-    """Tokeniser, lower case, stop words and endings of a language; the default analyser for one that isn't known."""
+def language_analyser(language: str, stop_words: list[str] | None = None) -> an.Tokens:
+    """Tokeniser, lower case, stop words and stemmer of a language, by its primary tag.
+
+    Korean, Chinese and Japanese are cut into pairs of characters and not stemmed. Raises ValueError for a language that
+    isn't known, unless stop words are given: then it is analysed with them and without a stemmer.
+    """
     code = language.split("-")[0].lower()
+    stops = stop_words if stop_words is not None else STOP_BY_LANGUAGE.get(code)
+    if stops is None:
+        raise ValueError(f"language {language!r} isn't known; known are {', '.join(sorted(STOP_BY_LANGUAGE))}")
     if code in ("zh", "ja", "ko"):
-        return an.analyser(an.cjk_bigrams, an.lowercase, an.stop(STOP_BY_LANGUAGE[code]))
+        return an.analyser(an.cjk_bigrams, an.lowercase, an.stop(stops))
     filters = [an.lowercase]
     if code == "fr":
         filters.append(an.elision())
-    if code in STOP_BY_LANGUAGE:
-        filters.append(an.stop(STOP_BY_LANGUAGE[code]))
-    if code in STEMMERS:
+    filters.append(an.stop(stops))
+    if code == "en":
+        filters.append(stemming.word_filter(stemming.porter))
+    elif code in STEMMERS:
         filters.append(an.each(STEMMERS[code]))
-    return an.analyser(an.words, *(filters if code in STOP_BY_LANGUAGE else (an.lowercase, an.stop())))
+    return an.analyser(an.words, *filters)

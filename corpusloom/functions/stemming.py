@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,36 @@ def on_distinct_terms(postings: DataFrame, term: str, fn: Callable[[str], str],
     return postings.select(term).distinct().withColumn(out, stem(F.col(term)))
 
 
+def word_filter(fn: Callable[[str], str], protected: frozenset[str] = frozenset(), beside: bool = False) -> Callable[[Column], Column]:
+    """A word function as a token filter, in Arrow batches; each distinct word of a worker is worked out once.
+
+    Protected words stay as they are. beside: the result stands behind each word instead of in its place (phonetic codes);
+    one that is empty or no different isn't added.
+    """
+
+    def apply(rows: pd.Series) -> pd.Series:
+        known: dict[str, str | None] = {}
+        out = []
+        for tokens in rows:
+            if tokens is None:
+                out.append(None)
+                continue
+            made = []
+            for t in tokens:
+                if t not in known:
+                    known[t] = t if t is None or t in protected else fn(t)
+                if beside:
+                    made.append(t)
+                    if known[t] and known[t] != t:
+                        made.append(known[t])
+                else:
+                    made.append(known[t])
+            out.append(made)
+        return pd.Series(out, dtype=object)
+
+    return lambda tokens: F.pandas_udf(apply, "array<string>")(tokens)
+
+
 _V = "aeiou"
 
 

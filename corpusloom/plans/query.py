@@ -33,6 +33,8 @@ class Atom:
     weight: Callable[[Column], Column] | None = None
     scored: bool = False
     positions: bool = False
+    #: The predicate is a pattern: it is put to the terms, not to each of their postings.
+    pattern: bool = False
 
 
 class Plan:
@@ -73,10 +75,16 @@ class Plan:
         if not self.atoms:
             return None
         wants = [(F.col("field") == a.field) & a.wants(F.col("term")) for a in self.atoms]
-        rows = self.index.postings.where(reduce(lambda x, y: x | y, wants))
-        if any(a.scored for a in self.atoms):
-            stats = self.index.term_stats.where(reduce(lambda x, y: x | y, wants))
-            rows = rows.join(stats, ["field", "term"])
+        stats = self.index.term_stats.where(reduce(lambda x, y: x | y, wants))
+        if any(a.pattern for a in self.atoms):
+            # patterns are put to each term once; postings come by the terms that fit
+            fields = F.col("field").isin(*dict.fromkeys(a.field for a in self.atoms))
+            terms = stats.select("field", "term", "df", "cf", *[w.alias(f"w{k}") for k, w in enumerate(wants)])
+            rows, wants = self.index.postings.where(fields).join(terms, ["field", "term"]), [F.col(f"w{k}") for k in range(len(wants))]
+        else:
+            rows = self.index.postings.where(reduce(lambda x, y: x | y, wants))
+            if any(a.scored for a in self.atoms):
+                rows = rows.join(stats, ["field", "term"])
         columns = []
         for k, (a, want) in enumerate(zip(self.atoms, wants)):
             columns.append(F.sum(F.when(want, F.col("tf"))).alias(f"tf{k}"))
@@ -187,6 +195,7 @@ class _Terms(Query):
     field: str
     boost: float = field(default=1.0, kw_only=True)
     constant = False
+    pattern_like = False
 
     def wants(self, term: Column) -> Column:
         raise NotImplementedError
@@ -196,7 +205,7 @@ class _Terms(Query):
 
     def _atom(self, p: Plan, scored: bool, positions: bool = False) -> str:
         weighted = type(self).weight is not _Terms.weight
-        return p.atom(Atom(self.field, self.wants, self.weight if weighted else None, scored, positions))
+        return p.atom(Atom(self.field, self.wants, self.weight if weighted else None, scored, positions, self.pattern_like))
 
     def match(self, p):
         k = self._atom(p, not self.constant)
@@ -245,6 +254,7 @@ def glob_pattern(pattern: str) -> str:
 @dataclass(frozen=True)
 class Wildcard(_Terms):
     pattern: str
+    pattern_like = True
 
     def rewrite(self, index):
         if self.pattern.endswith("*") and not set(self.pattern[:-1]) & {"*", "?"}:
@@ -268,6 +278,7 @@ def literal_start(pattern: str) -> str:
 @dataclass(frozen=True)
 class Regexp(_Terms):
     pattern: str
+    pattern_like = True
 
     def wants(self, term):
         start = literal_start(self.pattern)
@@ -426,12 +437,49 @@ def binary_range(column: str, low: bytes | None, high: bytes | None, boost: floa
 
 
 def ipv4_number(address: Column) -> Column:
+    """Null for what isn't an IPv4 address."""
     parts = F.split(address, r"\.")
-    return sum((F.try_element_at(parts, F.lit(i + 1)).cast("long") * (256 ** (3 - i)) for i in range(1, 4)), F.try_element_at(parts, F.lit(1)).cast("long") * 256**3)
+    b = [F.get(parts, F.lit(i)).try_cast("long") for i in range(4)]
+    fits = reduce(lambda x, y: x & y, [x.between(0, 255) for x in b], address.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"))
+    return F.when(fits, sum((x * 256 ** (2 - i) for i, x in enumerate(b[1:])), b[0] * 256**3))
+
+
+def ip_key(address: Column) -> Column:
+    """An address as 32 hexadecimal digits that sort like it; IPv4 as the IPv4-mapped IPv6 address. Null for anything else."""
+    mapped = F.regexp_replace(address, r"(?i)^::ffff:(?=\d+\.)", "")
+    v4 = mapped.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$")
+    number = ipv4_number(mapped)
+    small = F.when(number.isNotNull(), F.concat(F.lit("00000000000000000000ffff"), F.lpad(F.hex(number), 8, "0")))
+    # an embedded IPv4 tail is two groups; :: stands for as many zero groups as are missing
+    tail = F.split(F.regexp_extract(address, r"(\d+\.\d+\.\d+\.\d+)$", 1), r"\.")
+    pair = lambda i: F.concat(F.lpad(F.hex(F.get(tail, F.lit(i)).try_cast("int")), 2, "0"), F.lpad(F.hex(F.get(tail, F.lit(i + 1)).try_cast("int")), 2, "0"))
+    plain = F.when(address.rlike(r":\d+\.\d+\.\d+\.\d+$"), F.concat(F.regexp_extract(address, r"^(.*:)\d+\.\d+\.\d+\.\d+$", 1), pair(0), F.lit(":"), pair(2))).otherwise(address)
+    halves = F.split(plain, "::")
+    groups = lambda h: F.filter(F.split(h, ":"), lambda g: g != "")
+    left, right = groups(F.get(halves, F.lit(0))), F.when(F.size(halves) > 1, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    missing = 8 - F.size(left) - F.size(right)
+    whole = F.when(F.size(halves) == 1, missing == 0).otherwise((F.size(halves) == 2) & (missing > 0))
+    digits = F.array_join(F.transform(F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right), lambda g: F.lpad(g, 4, "0")), "")
+    large = F.when(whole & plain.rlike(r"^[0-9A-Fa-f:]+$") & ~plain.rlike(r"[0-9A-Fa-f]{5}|:::"), F.lower(digits))
+    return F.lower(F.when(v4, small).when(address.contains(":"), large))
 
 
 def ip_range(column: str, low: str, high: str, boost: float = 1.0) -> Query:
-    return Where(lambda c: ipv4_number(c(column)).between(ipv4_number(F.lit(low)), ipv4_number(F.lit(high))), boost)
+    """Addresses from low to high, ends included; values that aren't addresses never match."""
+    if ":" not in low + high:  # IPv6 addresses can only be between these if they stand for IPv4 ones
+        mapped = r"(?i)^::ffff:([0-9a-f]{1,4}):([0-9a-f]{1,4})$"
+        group = lambda a, i: F.conv(F.regexp_extract(a, mapped, i), 16, 10).try_cast("long")
+        number = lambda a: F.coalesce(ipv4_number(F.regexp_replace(a, r"(?i)^::ffff:(?=\d+\.)", "")), F.when(a.rlike(mapped), group(a, 1) * 65536 + group(a, 2)))
+        return Where(lambda c: number(c(column)).between(number(F.lit(low)), number(F.lit(high))), boost)
+    return Where(lambda c: ip_key(c(column)).between(ip_key(F.lit(low)), ip_key(F.lit(high))), boost)
+
+
+def ip_points(column: str, addresses: Sequence[str], boost: float = 1.0) -> Query:
+    return Where(lambda c: ip_key(c(column)).isin(*[ip_key(F.lit(a)) for a in addresses]), boost)
+
+
+def binary_points(column: str, values: Sequence[bytes], boost: float = 1.0) -> Query:
+    return Where(lambda c: c(column).isin(*[F.lit(bytearray(v)) for v in values]), boost)
 
 
 def geo_box(lat: str, lon: str, south: float, north: float, west: float, east: float, boost: float = 1.0) -> Query:

@@ -60,7 +60,7 @@ def register(reg: Registry) -> None:
     add("filter_reverse", an.analyser(an.words, an.reverse), f"list_transform({_WORDS}, lambda x: reverse(x))")
     add("filter_type_number", an.analyser(an.words, an.of_type(["number"])), "list_filter(" + _W.format("text") + ", lambda x: regexp_full_match(x, '\\p{Nd}+'))", "text")
     add("filter_pattern", an.analyser(an.words, an.replace_in_tokens("[aeiou]+", "*")), f"list_transform({_WORDS}, lambda x: regexp_replace(x, '[aeiou]+', '*', 'g'))")
-    add("filter_accent_fold", an.analyser(an.words, an.fold_accents), f"list_transform({_WORDS}, lambda x: translate(x, '{an.ACCENTED}', '{an.PLAIN}'))")
+    add("filter_accent_fold", an.analyser(an.words, an.fold_accents), f"list_transform({_WORDS}, lambda x: strip_accents(x))")
     add("filter_decimal_digits", an.analyser(an.words, an.of_type(["number"]), an.decimal_digits), None, "text")
     add("filter_elision", an.analyser(an.whitespace, an.elision()), "list_transform(regexp_extract_all(coalesce(text, ''), '[^\\s\\x0b]+'), lambda x: regexp_replace(x, '^(?i:" + "|".join(an.ARTICLES) + ")[''’](.)', '\\1'))", "text")
     add("filter_classic", an.analyser(an.whitespace, an.classic), None, "text")

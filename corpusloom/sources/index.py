@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,14 +55,42 @@ class Index:
         return {r.term: (r.df, r.cf) for r in rows}
 
 
-def postings_of(docs: DataFrame, name: str, column: str, analyse: Tokens) -> DataFrame:
-    """The postings of one field. Null and empty texts have none."""
-    # placed by document once, as text, so that grouping the exploded tokens by (document, term) needs no shuffle
-    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", column).repartition("doc_id")
-    tokens = texts.select("doc_id", analyse(F.col(column)).alias("tokens"))
-    rows = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.posexplode("tokens").alias("pos", "term"))
-    found = rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"), F.first("dl").alias("dl"))
-    return found.select("term", "doc_id", "tf", "positions", "dl", F.lit(name).alias("field"))
+_ROWS = pa.schema([("term", pa.string()), ("doc_id", pa.int64()), ("tf", pa.int64()), ("positions", pa.list_(pa.int32())), ("dl", pa.int64()), ("field", pa.string())])
+_BLOCK = 1 << 16
+
+
+def _group_tokens(names: list[str]):
+    """Arrow function: (doc_id, tokens of each field) to postings. A document is one row, so nothing is shuffled."""
+
+    def run(batches):
+        out: list[list] = [[] for _ in _ROWS]
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for name, column in zip(names, batch.columns[1:]):
+                # a document's tokens at a time, so that no more than one is held as Python values
+                for doc, tokens in zip(ids, column):
+                    tokens = tokens.as_py()
+                    if not tokens:
+                        continue
+                    at: dict[str, list[int]] = {}
+                    for i, t in enumerate(tokens):
+                        if t is not None:
+                            at.setdefault(t, []).append(i)
+                    for c, values in zip(out, (at.keys(), [doc] * len(at), map(len, at.values()), at.values(), [len(tokens)] * len(at), [name] * len(at))):
+                        c.extend(values)
+                    if len(out[0]) >= _BLOCK:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _ROWS)], schema=_ROWS)
+                        out = [[] for _ in _ROWS]
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _ROWS)], schema=_ROWS)
+
+    return run
+
+
+def postings_of(docs: DataFrame, fields: dict[str, tuple[str, Tokens]]) -> DataFrame:
+    """The postings of the given fields, all from one scan. Null and empty texts have none."""
+    tokens = docs.where(F.col("doc_id").isNotNull()).select("doc_id", *[analyse(F.col(column)).alias(f"_{i}") for i, (column, analyse) in enumerate(fields.values())])
+    return tokens.mapInArrow(_group_tokens(list(fields)), POSTINGS)
 
 
 def build(docs: DataFrame, fields: dict[str, tuple[str, Tokens]], path: str | None = None) -> Index:
@@ -70,14 +99,14 @@ def build(docs: DataFrame, fields: dict[str, tuple[str, Tokens]], path: str | No
     path = path or scratch_path(spark, "index")
     docs = spread(docs)
     docs.write.parquet(f"{path}/docs")
-    for name, (column, analyse) in fields.items():
-        # written once unsorted, as finding the ranges reads the rows a second time and analysis is the dear part
-        postings_of(docs, name, column, analyse).drop("field").write.parquet(f"{path}/unsorted/{name}")
-        rows = spark.read.schema(POSTINGS).parquet(f"{path}/unsorted/{name}").drop("field")
-        rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings/field={name}")
-        stats = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-        stats.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/term_stats/field={name}")
-        delete(spark, f"{path}/unsorted/{name}")
+    # written once unsorted, as finding the ranges reads the rows a second time and analysis is the dear part
+    postings_of(docs, fields).write.parquet(f"{path}/unsorted")
+    rows = spark.read.schema(POSTINGS).parquet(f"{path}/unsorted")
+    order = ("field", "term", "doc_id")
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("field").parquet(f"{path}/postings")
+    stats = rows.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    stats.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.partitionBy("field").parquet(f"{path}/term_stats")
+    delete(spark, f"{path}/unsorted")
     return replace(open_index(spark, path), sources=dict(fields))
 
 

@@ -42,12 +42,15 @@ class DocumentStore:
             return {"version": 0, "data": [], "tombstones": [], "batches": {}, "schema": None}
         return json.loads(shared.read_text(self.spark, f"{self.root}/manifest/{version or known[-1]:08d}.json"))
 
-    def _write(self, df: DataFrame, path: str) -> None:
+    def _write(self, df: DataFrame, path: str, files: int | None = None) -> None:
         if self.sort_by:  # rows of a range lie together, so that row groups can be skipped by their least and greatest value
-            df = df.repartitionByRange(*self.sort_by).sortWithinPartitions(*self.sort_by)
+            ranges = df.repartitionByRange(files, *self.sort_by) if files else df.repartitionByRange(*self.sort_by)
+            df = ranges.sortWithinPartitions(*self.sort_by)
+        elif files:
+            df = df.repartition(files)
         df.write.option("compression", self.compression).parquet(path)
 
-    def prepare(self, rows: DataFrame | None = None, deleted: DataFrame | None = None, batch: tuple[str, int] | None = None) -> dict:
+    def prepare(self, rows: DataFrame | None = None, deleted: DataFrame | None = None, batch: tuple[str, int] | None = None, files: int | None = None) -> dict:
         """First phase: write the files of the next version, which nobody sees yet. Give the result to commit or rollback."""
         state = self.manifest()
         version = state["version"] + 1
@@ -57,7 +60,7 @@ class DocumentStore:
             deleted.select("doc_id").distinct().write.parquet(f"{at}/tombstones")
             new["tombstones"].append([version, f"{at}/tombstones"])
         if rows is not None:
-            self._write(rows, f"{at}/data")
+            self._write(rows, f"{at}/data", files)
             new["data"].append([version, f"{at}/data"])
             new["schema"] = new["schema"] or rows.schema.json()
         if batch is not None:
@@ -116,7 +119,7 @@ class DocumentStore:
     def compact(self, files: int | None = None) -> int:
         """Rewrite the live rows of the current version into one folder without tombstones."""
         state, rows = self.manifest(), self.read()
-        new = self.prepare(rows.repartition(files) if files else rows)
+        new = self.prepare(rows, files=files)
         new["data"], new["tombstones"] = new["data"][len(state["data"]) :], []
         return self.commit(new)
 

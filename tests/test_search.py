@@ -137,9 +137,25 @@ def test_analysis_of_null_and_empty(spark):
     from corpusloom.functions.languages import STEMMERS, language_analyser
 
     df = spark.createDataFrame([(None,), ("",), ("L'été des nations; Übergrößen u.s.a. foo-bar 12abc",)], "t string")
-    for fn in [*an.ANALYSERS.values(), language_analyser("fr"), language_analyser("ru"), language_analyser("xx"), an.ngrams(2, 3), an.edge_ngrams(1, 2), an.path_tree()]:
+    for fn in [*an.ANALYSERS.values(), language_analyser("fr"), language_analyser("ru"), language_analyser("xx", ["a"]), an.ngrams(2, 3), an.edge_ngrams(1, 2), an.path_tree()]:
         got = [r[0] for r in df.select(fn(F.col("t"))).collect()]
         assert not got[0] and not any(got[1]) and got[2]
     words = spark.createDataFrame([("chevaux",), ("nations",), ("freundlichkeit",)], "w string")
     assert [r[0] for r in words.select(STEMMERS["fr"](F.col("w"))).collect()][0] == "cheval"
     assert [r[0] for r in words.select(STEMMERS["de"](F.col("w"))).collect()][2] == "freu"
+
+
+def test_ipv6_ipv4_and_rubbish(spark):
+    values = ["10.0.0.5", "::ffff:10.0.0.7", "2001:db8::1", "2001:DB8:0:0:0:0:0:ff", "::1", "fe80::1:2:3", "1.2.3", "300.1.1.1", "a:b", ":::", "", None, "::ffff:0a00:0009"]
+    df = spark.createDataFrame([(v,) for v in values], "ip string")
+    from corpusloom.plans import query as q
+
+    def hits(w):
+        return [r.ip for r in df.where(w.predicate(lambda c: F.col(c))).collect()]
+
+    mapped = ["10.0.0.5", "::ffff:10.0.0.7", "::ffff:0a00:0009"]
+    assert hits(q.ip_range("ip", "10.0.0.0", "10.0.0.255")) == mapped
+    assert hits(q.ip_range("ip", "::ffff:10.0.0.0", "::ffff:10.0.0.255")) == mapped
+    assert hits(q.ip_range("ip", "2001:db8::", "2001:db8::ffff")) == ["2001:db8::1", "2001:DB8:0:0:0:0:0:ff"]
+    assert hits(q.ip_range("ip", "::", "::ffff:10.0.0.9")) == ["10.0.0.5", "::ffff:10.0.0.7", "::1", "::ffff:0a00:0009"]
+    assert hits(q.ip_points("ip", ["fe80:0::1:2:3", "2001:db8:0::1"])) == ["2001:db8::1", "fe80::1:2:3"]

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -28,3 +29,29 @@ def test_accents_of_texts_are_folded(terms):
 def test_shingles_and_common_grams_of_texts(terms):
     assert terms("filter_shingle_text", "a B c", "") == Counter(["a", "b", "c", "a b", "b c", "a b c"])
     assert terms("filter_common_grams_text", "a Plain query here", None) == Counter(["a", "plain_query", "plain", "query", "here"])
+
+
+def test_english_arabic_and_unknown_languages(spark):
+    from corpusloom.functions.languages import language_analyser
+
+    df = spark.createDataFrame([("Running searches connected the والكتاب المدرسون",), (None,)], "t string")
+    assert df.select(language_analyser("en-GB")(F.col("t"))).first()[0][:3] == ["run", "search", "connect"]
+    assert df.select(language_analyser("ar")(F.col("t"))).first()[0][-2:] == ["تاب", "مدرس"]
+    with pytest.raises(ValueError):
+        language_analyser("sk")
+    assert df.select(language_analyser("sk", ["the"])(F.col("t"))).first()[0][:3] == ["running", "searches", "connected"]
+
+
+def test_marks_synonyms_delimiters_and_protected_words(spark):
+    from corpusloom.functions import analysis as an
+    from corpusloom.functions import stemming
+
+    one = lambda fn, *tokens: spark.createDataFrame([(list(tokens),)], "t array<string>").select(fn(F.col("t"))).first()[0]
+    assert one(an.fold_accents, "Dvořák", "Škoda", "őszi", "Ἀθῆναι", "한국어", "ø", "é") == ["Dvorak", "Skoda", "oszi", "Αθηναι", "한국어", "ø", "e"]
+    syn = an.synonyms({"new york city": ["nyc"], "new york": ["ny"], "york": ["eboracum"], "city": ["town"]})
+    assert one(syn, "new", "york", "city", "new", "york", "york", "city") == "new york city new york york city nyc ny eboracum town".split()
+    assert one(syn) == []
+    assert one(an.word_delimiter(catenate_words=True, catenate_numbers=True), "Wi-Fi802-11") == ["Wi", "Fi", "802", "11", "WiFi", "80211"]
+    assert one(an.word_delimiter(number_parts=False), "A-12", "12") == ["A", "12"]
+    assert one(stemming.word_filter(stemming.porter, frozenset(["running"])), "running", "searches", None) == ["running", "search", None]
+    assert one(stemming.word_filter(stemming.metaphone, beside=True), "knight", "42") == ["knight", stemming.metaphone("knight"), "42"]
