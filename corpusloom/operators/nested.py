@@ -5,7 +5,8 @@ hash covering its own scalar properties and the hashes of the objects below it (
 
 * occurrences: one bridge row for each place where an object or fragment stands: record, path, ordinal, the path and
   identity of the enclosing case, and its own identity. No occurrence is lost, however often an object repeats.
-* objects: each distinct object once, with its canonical content, found by identity.
+* objects: each distinct object once, with its canonical content, found by identity. In it {"$": identity} stands for an
+  object, names are sorted, those that begin with $ have another before it, and equal numbers are written alike.
 
 Cases are what p4_found asks for. With every=True the other objects are rows too: the root (payload, request or
 response) and each object that is a property's value or stands in another array (object). Otherwise these are written
@@ -52,6 +53,16 @@ def _hash(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
+def _key(name: str) -> str:
+    """A property's name in canonical content, where a name of its own, "$", refers to an object: another $ goes before it."""
+    return "$" + name if name.startswith("$") else name
+
+
+def _scalar(v):
+    """A scalar in canonical form: numbers that are equal look alike, whether written 1, 1.0 or 1e0."""
+    return int(v) if isinstance(v, float) and v.is_integer() and abs(v) < 2**53 else v
+
+
 class _Walk:
     """Collects the cases of one record. Subclasses say what a case is; keep() hashes what they find."""
 
@@ -92,14 +103,14 @@ class _Payload(_Walk):
     def value(self, v, path: str, parent: int, ordinal: int, element: bool):
         """A form of the value for its parent's content: scalars as they are, objects by hash."""
         if isinstance(v, dict):
-            shape = lambda at: {k: self.value(x, f"{path}/{k}", at, -1, False) for k, x in v.items()}
+            shape = lambda at: {_key(k): self.value(x, f"{path}/{k}", at, -1, False) for k, x in v.items()}
             if element:
                 at = self.open()
                 return {"$": self.close(at, "child", path, parent, ordinal, _dump(shape(at))).hex()}
             return self.inner(path, parent, -1, shape)
         if isinstance(v, list):
             return [self.value(x, f"{path}/{i}", parent, i, True) for i, x in enumerate(v)]
-        return v
+        return _scalar(v)
 
 
 def _camel(name: str) -> str:
@@ -121,7 +132,7 @@ class _Request(_Walk):
             return self.inner(path, parent, ordinal, lambda at: self.shape(v, path, at))
         if isinstance(v, list):
             return [self.value(x, f"{path}/{i}", parent, i) for i, x in enumerate(v)]
-        return v
+        return _scalar(v)
 
     def shape(self, v: dict, path: str, at: int):
         shape = {}
@@ -130,7 +141,7 @@ class _Request(_Walk):
             if k in CLAUSE_LISTS:
                 shape[k] = [self.clause(e, f"{path}/{k}/{i}", at, i) for i, e in enumerate(_listed(x))]
             else:
-                shape[k] = self.value(x, f"{path}/{k}", at)
+                shape[_key(k)] = self.value(x, f"{path}/{k}", at)
         return shape
 
     def clause(self, v, path: str, parent: int, ordinal: int):
@@ -156,17 +167,17 @@ class _Response(_Walk):
             if k == "hits":
                 shape[k] = [self.hit(hit, f"/hits/{i}", at, i) for i, hit in enumerate(_listed(x))]
             else:
-                shape[k] = self.plain(x, f"/{k}", at)
+                shape[_key(k)] = self.plain(x, f"/{k}", at)
         return shape
 
     def plain(self, v, path: str, parent: int, ordinal: int = -1):
         if not self.every:
             return v
         if isinstance(v, dict):
-            return self.inner(path, parent, ordinal, lambda at: {k: self.plain(x, f"{path}/{k}", at) for k, x in v.items()})
+            return self.inner(path, parent, ordinal, lambda at: {_key(k): self.plain(x, f"{path}/{k}", at) for k, x in v.items()})
         if isinstance(v, list):
             return [self.plain(x, f"{path}/{i}", parent, i) for i, x in enumerate(v)]
-        return v
+        return _scalar(v)
 
     def hit(self, v, path: str, parent: int, ordinal: int):
         if v is None:
@@ -279,5 +290,7 @@ def all_occurrences(operations: DataFrame, searches: DataFrame) -> DataFrame:
 
 
 def object_store(occurrences: DataFrame) -> DataFrame:
-    """(node_hash, entity, content, occurrences): each distinct object once."""
-    return occurrences.groupBy("node_hash", "entity").agg(F.min("content").alias("content"), F.count("*").alias("occurrences"))
+    """(node_hash, entities, content, occurrences): each distinct object once; entities names what it occurs as."""
+    # a handful of names at most
+    entities = F.array_join(F.array_sort(F.collect_set("entity")), " ")
+    return occurrences.groupBy("node_hash").agg(entities.alias("entities"), F.min("content").alias("content"), F.count("*").alias("occurrences"))

@@ -72,7 +72,7 @@ def register(reg: Registry) -> None:
 
     def objects(s, d):
         found = nested.all_occurrences(table(s, d, "bulk_operations"), table(s, d, "search_log"))
-        return nested.object_store(found).select(F.hex("node_hash").alias("node_hash"), "entity", "content", "occurrences")
+        return nested.object_store(found).select(F.hex("node_hash").alias("node_hash"), "entities", "content", "occurrences")
 
     reg.add("p4_objects", objects)
 

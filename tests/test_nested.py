@@ -41,7 +41,7 @@ def test_equal_objects_have_one_identity_and_keep_every_occurrence(spark):
     ops = spark.createDataFrame([(1, '{"a":[{"x":1,"y":2},{"y":2,"x":1},{"x":1}]}'), (2, '{"b":[{"x":1.0,"y":2},{"y":2,"x":1}]}')], "delivery_id long, document_json string")
     found = nested.payload_occurrences(ops)
     store = {r.content: r.occurrences for r in nested.object_store(found).collect()}
-    assert store == {'{"x":1,"y":2}': 3, '{"x":1}': 1, '{"x":1.0,"y":2}': 1}
+    assert store == {'{"x":1,"y":2}': 4, '{"x":1}': 1}
     assert found.count() == 5
 
 
@@ -69,9 +69,30 @@ def test_every_object_of_both_sources_has_an_identity(spark):
     assert found.count() == 12
     assert places[1, "object", "/o", ""].node_hash == places[1, "child", "/a/0", ""].node_hash
     assert places[7, "hit", "/hits/0", ""].parent_hash == places[7, "response", "", ""].node_hash
-    assert nested.object_store(found).count() == 12
+    assert nested.object_store(found).count() == 11  # one object is a child and a property's value
 
 
 def test_objects_beyond_a_thousand_levels(cases):
     found = cases(['{"a":' * 1500 + '{"b":[{}]}' + "}" * 1500, '{"a":[' * 1500 + "{}" + "]}" * 1500])
     assert [r[0] for r in found] == ["child"] * 1501
+
+
+def test_equal_numbers_and_names_like_references(spark):
+    ops = spark.createDataFrame([(1, '{"a":[{"x":1},{"x":1.0},{"x":1e0},{"x":"1"},{"$":"00"},{"y":{"x":1}}]}'), (2, None)], "delivery_id long, document_json string")
+    log = spark.createDataFrame([], "search_id long, request_json string, response_json string")
+    rows = nested.all_occurrences(ops, log).collect()
+    at = {r.path: r.node_hash for r in rows}
+    assert at["/a/0"] == at["/a/1"] == at["/a/2"] == at["/a/5/y"] and len({at[p] for p in ("/a/0", "/a/3", "/a/4", "/a/5")}) == 4
+    assert {r.content for r in rows if r.path == "/a/4"} == {'{"$$":"00"}'}
+
+
+def test_bridge_and_objects_name_each_other(spark, sf):
+    import __spark_entry__ as entry
+
+    q = entry.queries()
+    bridge, objects = q["p4_bridge"](spark, sf), q["p4_objects"](spark, sf)
+    identities = bridge.select("node_hash").distinct()
+    assert identities.count() == objects.count() == objects.join(identities, "node_hash").count()
+    assert bridge.count() == objects.agg({"occurrences": "sum"}).first()[0]
+    # every parent is an object, and every reference in a content too
+    assert bridge.where("parent_hash is not null").select("parent_hash").distinct().join(objects, objects.node_hash == bridge.parent_hash, "left_anti").count() == 0
