@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import analysis as an
 from corpusloom.functions import stemming
-from corpusloom.functions.languages import STOP_BY_LANGUAGE, language_analyser
+from corpusloom.functions.languages import ENDINGS, STOP_BY_LANGUAGE, language_analyser
 from corpusloom.plans.registry import Registry, table
 
 _W = "regexp_extract_all(coalesce({0}, ''), '[\\p{{L}}\\p{{Nd}}]+')"
@@ -20,6 +20,54 @@ def _counted(tokens: str, source: str = "documents") -> str:
     return f"SELECT term, count(*) AS n FROM (SELECT unnest({tokens}) AS term FROM {source}) GROUP BY term"
 
 
+def _by_term(term: str, tokens: str, keep: str = "TRUE") -> str:
+    """Counts after a change of each distinct term t of the texts' tokens; terms for which keep doesn't hold are left out."""
+    return (
+        f"WITH raw AS (SELECT t, count(*) AS n FROM (SELECT unnest({tokens}) AS t FROM documents) GROUP BY t) "
+        f"SELECT term, sum(n)::BIGINT AS n FROM (SELECT {term} AS term, n FROM raw WHERE {keep}) GROUP BY term"
+    )
+
+
+def _suffixes_sql(word: str, steps, guard: int, fold=None, drop_last: str = "", drop_above: int = 2, shortest: int = 3) -> str:
+    """A suffix stemmer in SQL: in each step the first ending of the list that fits is replaced."""
+    out = word
+    for a, b in (fold or {}).items():
+        out = f"replace({out}, '{a}', '{b}')"
+    for rules in steps:
+        # a CASE for each step: the order of the list is the order of the tests
+        tests = " ".join(f"WHEN regexp_matches(w, '^.{{{guard},}}{a}$') THEN left(w, length(w) - {len(a)}) || '{b}'" for a, b in rules)
+        out = f"list_transform([{out}], lambda w: CASE {tests} ELSE w END)[1]"
+    if drop_last:
+        out = f"regexp_replace({out}, '^(.{{{drop_above},}}){drop_last}$', '\\1')"
+    return f"CASE WHEN length({word}) <= {shortest} THEN {word} ELSE {out} END"
+
+
+def _quoted(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+_TEXT_WORDS = _W.format("text")
+_ICU = "[\\p{L}\\p{N}\\p{M}]+(?:[''’_-][\\p{L}\\p{N}\\p{M}]+)*"
+_ARABIC_SQL = (
+    "CASE WHEN length(t) <= 2 THEN t ELSE regexp_replace(regexp_replace(regexp_replace(t, '^(?:وال|بال|كال|فال|ال)(.{3,})$', '\\1'), '^(?:و|ف|ب|ل|ك|س)(.{3,})$', '\\1'), "
+    "'^(.{2,}?)(?:تين|ين|ون|ات|ان|تا|ية|يا|ها|هم|هن|كم|نا|ني|تم|تن|ة|ت|ي|ا)$', '\\1') END"
+)
+
+
+def _language_sql(code: str) -> str | None:
+    low = f"list_transform({_TEXT_WORDS}, lambda x: lower(x))"
+    keep = f"NOT list_contains({_quoted(STOP_BY_LANGUAGE[code])}, lower(t))"
+    stems = {
+        "fr": lambda: _suffixes_sql("t", an.FRENCH, 2, drop_last="e"),
+        "de": lambda: _suffixes_sql("t", an.GERMAN, 3, fold={"ä": "a", "ö": "o", "ü": "u", "ß": "ss"}),
+        "ar": lambda: _ARABIC_SQL,
+        **{c: (lambda c=c: _suffixes_sql("t", [an.ending_rules(x) for x in ENDINGS[c]], 3)) for c in ("es", "it", "pt")},
+        "nl": lambda: _suffixes_sql("t", [an.ending_rules(x) for x in ENDINGS["nl"]], 3, drop_last="e", drop_above=3),
+        "ru": lambda: _suffixes_sql("t", [an.ending_rules(x) for x in ENDINGS["ru"]], 2, shortest=2),
+    }
+    return _by_term(stems[code](), low, keep) if code in stems else None
+
+
 def register(reg: Registry) -> None:
     """Add this module's queries."""
 
@@ -47,8 +95,13 @@ def register(reg: Registry) -> None:
     paths = lambda rows: rows.withColumn("path", F.replace("source", F.lit("_"), F.lit("/")))
     add("tok_path", an.path_tree(), f"list_filter(list_transform(range(1, len({parts}) + 1), lambda i: array_to_string({parts}[1:i], '/')), lambda x: x <> '')", "path", paths)
     add("tok_path_suffix", an.path_tree(reverse=True), f"list_filter(list_transform(range(1, len({parts}) + 1), lambda i: array_to_string({parts}[i:], '/')), lambda x: x <> '')", "path", paths)
-    add("tok_url", an.url_email, None, "text")
-    add("tok_icu", an.icu_words, None, "text")
+    url = "https?://[^\\s\\x0b<>\"]+|www\\.[^\\s\\x0b<>\"]+|[\\p{L}\\p{N}._%+-]+@[\\p{L}\\p{N}-]+(?:\\.[\\p{L}\\p{N}-]+)+|[#@][\\p{L}\\p{N}_]+|"
+    add("tok_url", an.url_email, f"regexp_extract_all(coalesce(text, ''), '{url}{_ICU}')", "text")
+    add("tok_icu", an.icu_words, f"regexp_extract_all(coalesce(text, ''), '{_ICU}')", "text")
+    add("char_pattern", lambda c: an.words(an.replace_pattern(c, "[0-9]+", "#n")), "regexp_extract_all(regexp_replace(coalesce(text, ''), '[0-9]+', '#n', 'g'), '[\\p{L}\\p{Nd}]+')", "text")
+    marked = frozenset(["ledger", "queries", "nested"])
+    cut = lambda t: F.regexp_replace(t, "(?:ies|es|s)$", "")
+    add("filter_marked", an.analyser(an.words, an.lowercase, an.each_but(sorted(marked), cut)), _by_term(f"CASE WHEN list_contains({_quoted(sorted(marked))}, t) THEN t ELSE regexp_replace(t, '(?:ies|es|s)$', '') END", f"list_transform({_TEXT_WORDS}, lambda x: lower(x))"), "text")
     add("tok_cjk", an.cjk_bigrams, None, "text")
     add("analyse_standard", an.standard, f"list_filter({low}, lambda x: NOT list_contains({an.STOP_WORDS}, x))")
     add("analyse_simple", an.simple, "list_transform(regexp_extract_all(coalesce(title, ''), '\\p{L}+'), lambda x: lower(x))")
@@ -61,9 +114,9 @@ def register(reg: Registry) -> None:
     add("filter_type_number", an.analyser(an.words, an.of_type(["number"])), "list_filter(" + _W.format("text") + ", lambda x: regexp_full_match(x, '\\p{Nd}+'))", "text")
     add("filter_pattern", an.analyser(an.words, an.replace_in_tokens("[aeiou]+", "*")), f"list_transform({_WORDS}, lambda x: regexp_replace(x, '[aeiou]+', '*', 'g'))")
     add("filter_accent_fold", an.analyser(an.words, an.fold_accents), f"list_transform({_WORDS}, lambda x: strip_accents(x))")
-    add("filter_decimal_digits", an.analyser(an.words, an.of_type(["number"]), an.decimal_digits), None, "text")
+    add("filter_decimal_digits", an.analyser(an.words, an.of_type(["number"]), an.decimal_digits), "list_transform(list_filter(" + _TEXT_WORDS + ", lambda x: regexp_full_match(x, '\\p{Nd}+')), lambda x: translate(x, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹०१२३४५६७८९০১২৩৪৫৬৭৮৯๐๑๒๓๔๕๖๗๘๙０１２３４５６７８９', '012345678901234567890123456789012345678901234567890123456789'))", "text")
     add("filter_elision", an.analyser(an.whitespace, an.elision()), "list_transform(regexp_extract_all(coalesce(text, ''), '[^\\s\\x0b]+'), lambda x: regexp_replace(x, '^(?i:" + "|".join(an.ARTICLES) + ")[''’](.)', '\\1'))", "text")
-    add("filter_classic", an.analyser(an.whitespace, an.classic), None, "text")
+    add("filter_classic", an.analyser(an.whitespace, an.classic), "list_transform(list_transform(regexp_extract_all(coalesce(text, ''), '[^\\s\\x0b]+'), lambda x: regexp_replace(x, '(?:[''’][sS]|[''’])$', '')), lambda b: CASE WHEN regexp_full_match(b, '(?:\\p{L}\\.)+\\p{L}?') AND length(b) >= 2 THEN replace(b, '.', '') ELSE b END)", "text")
     add("filter_shingle", an.analyser(an.words, an.lowercase, an.shingles(2, 3)), f"list_concat({low}, list_concat(list_transform(range(1, len({low})), lambda i: array_to_string({low}[i:i+1], ' ')), list_transform(range(1, greatest(len({low}) - 1, 1)), lambda i: array_to_string({low}[i:i+2], ' '))))")
     pairs = f"list_transform(list_filter(range(1, len({low})), lambda i: list_contains({_COMMON}, {low}[i]) AND list_contains({_COMMON}, {low}[i+1])), lambda i: concat({low}[i], '_', {low}[i+1]))"
     add("filter_common_grams", an.analyser(an.words, an.lowercase, an.common_grams(_COMMON)), f"list_concat({low}, {pairs})")
@@ -74,10 +127,11 @@ def register(reg: Registry) -> None:
     add("filter_unique", an.analyser(an.words, an.unique), f"list_distinct({_WORDS})")
     add("html_strip", lambda c: an.words(an.strip_html(c)), "regexp_extract_all(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]*>?', ' ', 'g'), '&[A-Za-z0-9_]*;', ' ', 'g'), '[\\p{L}\\p{Nd}]+')", "text")
     add("map_characters", lambda c: an.words(an.map_characters(c, {"ä": "ae", "ß": "ss"})), "regexp_extract_all(replace(replace(coalesce(text, ''), 'ä', 'ae'), 'ß', 'ss'), '[\\p{L}\\p{Nd}]+')", "text")
-    add("stem_fr", an.analyser(an.words, an.lowercase, an.each(an.stem_french)), None, "text")
-    add("stem_de", an.analyser(an.words, an.lowercase, an.each(an.stem_german)), None, "text")
+    low_text = f"list_transform({_TEXT_WORDS}, lambda x: lower(x))"
+    add("stem_fr", an.analyser(an.words, an.lowercase, an.each(an.stem_french)), _by_term(_suffixes_sql("t", an.FRENCH, 2, drop_last="e"), low_text), "text")
+    add("stem_de", an.analyser(an.words, an.lowercase, an.each(an.stem_german)), _by_term(_suffixes_sql("t", an.GERMAN, 3, fold={"ä": "a", "ö": "o", "ü": "u", "ß": "ss"}), low_text), "text")
     for code in STOP_BY_LANGUAGE:
-        add(f"analyse_{code}", language_analyser(code), None, "text")
+        add(f"analyse_{code}", language_analyser(code), _language_sql(code), "text")
 
     def stems(s, d, fn=stemming.porter):
         terms = table(s, d, "documents").select(F.explode(an.standard(F.col("text"))).alias("term"))
