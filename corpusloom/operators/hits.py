@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import base64
+import dataclasses
 import hashlib
 import hmac
 import json
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,8 +61,24 @@ def read_cursor(cursor: str, fingerprint: str, secret: bytes) -> list:
 
 
 def fingerprint(query: Query) -> str:
-    """Stable identity of a query."""
-    return hashlib.sha256(repr(query).encode()).hexdigest()
+    """Identity of a query by its value: the same in every process. Functions count by their code and what they hold."""
+    return hashlib.sha256(_value(query).encode()).hexdigest()
+
+
+def _value(x) -> str:
+    if dataclasses.is_dataclass(x) and not isinstance(x, type):
+        return f"{type(x).__name__}({', '.join(f'{f.name}={_value(getattr(x, f.name))}' for f in dataclasses.fields(x))})"
+    if isinstance(x, dict):
+        return "{" + ", ".join(sorted(f"{_value(k)}: {_value(v)}" for k, v in x.items())) + "}"
+    if isinstance(x, (set, frozenset)):
+        return "{" + ", ".join(sorted(map(_value, x))) + "}"
+    if isinstance(x, (list, tuple)):
+        return "(" + ", ".join(map(_value, x)) + ")"
+    code = getattr(x, "__code__", None)
+    if code is not None:
+        held = [c.cell_contents for c in x.__closure__ or ()]
+        return f"function({code.co_code.hex()}, {_value([c for c in code.co_consts if not hasattr(c, 'co_code')])}, {[c.co_code.hex() for c in code.co_consts if hasattr(c, 'co_code')]}, {code.co_names}, {_value(held)}, {_value(x.__defaults__ or ())})"
+    return repr(x)
 
 
 # aggregation
@@ -93,11 +109,13 @@ def histogram(values: DataFrame, column: str, interval: float = 10.0) -> DataFra
 
 def facets(values: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(field, value, count) of each column; arrays count by value, empty strings and nulls not at all."""
-    pairs = []
-    for c in columns:
-        v = F.explode(c) if values.schema[c].dataType.typeName() == "array" else F.col(c)
-        pairs.append(values.select(F.lit(c).alias("field"), v.cast("string").alias("value")))
-    return reduce(DataFrame.unionByName, pairs).where("value <> ''").groupBy("field", "value").agg(F.count("*").alias("count"))
+    lists = []
+    for c in columns:  # one pass over the hits, whatever the number of columns
+        v = F.col(c) if values.schema[c].dataType.typeName() == "array" else F.array(c)
+        name = F.lit(c).alias("field")
+        lists.append(F.transform(v.cast("array<string>"), lambda x: F.struct(name, x.alias("value"))))  # noqa: B023
+    pairs = values.select(F.explode(F.flatten(F.array(*[F.coalesce(x, F.array().cast("array<struct<field:string,value:string>>")) for x in lists]))).alias("p"))
+    return pairs.select("p.field", "p.value").where("value <> ''").groupBy("field", "value").agg(F.count("*").alias("count"))
 
 
 def collapse(rows: DataFrame, key: str, by_least: bool = False) -> DataFrame:
@@ -129,14 +147,14 @@ def score_stage(rows: DataFrame, value: Column, mode: str, weight: float = 0.5)
 def pin(hits: DataFrame, pins: dict[int, int], n: int) -> DataFrame:
     """(doc_id, rank): pinned documents (id -> place from 1) at their places if they are candidates, the others around them.
 
-    hits: a top list; ranking it takes one task, as it takes one reader.
+    Only the n best of the others can have a place, and only these are numbered.
     """
     place = F.create_map(*[F.lit(x).cast("long") for kv in pins.items() for x in kv]) if pins else F.lit(None)
     marked = hits.withColumn("place", F.try_element_at(place, F.col("doc_id")) if pins else F.lit(None).cast("long"))
     fixed = marked.where("place is not null").select("doc_id", F.col("place").alias("rank"))
     taken = sorted(set(pins.values()))
     order = F.expr("row_number() over (order by score desc, doc_id)")
-    free = marked.where("place is null").withColumn("o", order.cast("long"))
+    free = marked.where("place is null").orderBy(F.desc("score"), "doc_id").limit(n).withColumn("o", order.cast("long"))
     present = fixed.agg(F.array_sort(F.coalesce(F.collect_set("rank"), F.array().cast("array<bigint>"))).alias("taken"))  # as many as there are pins
     # the o-th free place: o, moved up by each taken place at or below it
     moved = F.aggregate("taken", F.col("o"), lambda r, t: F.when(t <= r, r + 1).otherwise(r))
@@ -162,8 +180,10 @@ def ranking_metrics(run: DataFrame, judged: DataFrame, k: int = 10) -> DataFrame
     )
     ideal_rank = F.expr("row_number() over (partition by query_id order by grade desc, doc_id)")
     best = judged.where("grade > 0").withColumn("r", ideal_rank)
-    ideal = best.groupBy("query_id").agg(F.count("*").alias("all"), F.sum(F.when(F.col("r") <= k, gain(F.col("grade")) / log2(F.col("r"))).otherwise(0.0)).alias("idcg"))
-    both = found.join(ideal, "query_id", "left")
+    # the window is cut to the first k before the shuffle; how many there are in all is a count
+    ideal = best.where(F.col("r") <= k).groupBy("query_id").agg(F.sum(gain(F.col("grade")) / log2(F.col("r"))).alias("idcg"))
+    counts = judged.where("grade > 0").groupBy("query_id").agg(F.count("*").alias("all"))
+    both = found.join(ideal, "query_id", "left").join(counts, "query_id", "left")
     part = lambda a, b: F.coalesce(F.when(b > 0, a / b), F.lit(0.0))
     return both.select(
         "query_id",

@@ -312,29 +312,29 @@ def register(reg: Registry) -> None:
     plain("explain_term", lambda ix: H.explain_term(ix, "text", "segment", sim.bm25).select("doc_id", "tf", "dl", "df", F.round("idf", 6).alias("idf"), F.round("score", 6).alias("score")),
           _sql(_cte(), out=f"SELECT doc_id, tf, dl, df, round({_IDF}, 6) AS idf, round({BM25}, 6) AS score FROM \"all\" WHERE term = 'segment'"))
     plain("highlight", lambda ix: G.highlight(q.top(q.search(ix, T("segment")), 20).join(ix.docs.select("doc_id", "text"), "doc_id"), "text", ["segment"]).select("doc_id", "fragment"), None)
-    plain("rank_pin", lambda ix: H.pin(q.top(q.search(ix, MATCH_WIKI), 30), {20: 2, 30: 4, 10**12: 1}, 15).select("doc_id", F.col("rank").cast("long").alias("rank")), None)
+    pins = {i: i % 12 + 1 for i in range(3, 12)} | {10**12: 15}
+    plain("rank_pin", lambda ix: H.pin(q.search(ix, T("query")), pins, 15).select("doc_id", F.col("rank").cast("long").alias("rank")),
+          _sql(_cte(), _scores("term = 'query'"), "pins(doc_id, place) AS (VALUES " + ", ".join(f"({d}, {r})" for d, r in pins.items()) + ")",
+               "fixed AS (SELECT doc_id, place AS rank FROM pins JOIN sc USING (doc_id))", "places AS (SELECT rank, row_number() OVER (ORDER BY rank) AS o FROM range(1, 40) t(rank) WHERE rank NOT IN (SELECT rank FROM fixed))",
+               "free AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS o FROM sc WHERE doc_id NOT IN (SELECT doc_id FROM fixed))",
+               out="SELECT doc_id, rank::BIGINT AS rank FROM (SELECT doc_id, rank FROM fixed UNION ALL SELECT doc_id, rank FROM free JOIN places USING (o)) WHERE rank <= 15"))
     plain("score_stage", lambda ix: _rounded(H.score_stage(q.top(q.search(ix, T("query")), 50).join(ix.docs.select("doc_id", "n_chars"), "doc_id"), F.col("n_chars") / 1000.0, "interpolate", 0.25)),
           _sql(_cte(), _scores("term = 'query'"), out="SELECT doc_id, round(0.75 * score + 0.25 * coalesce(n_chars / 1000.0::DOUBLE, 0), 6) AS score FROM (SELECT * FROM sc ORDER BY score DESC, doc_id LIMIT 50) JOIN documents USING (doc_id)"))
 
-    def metrics(s, d, judged="doc_id < 2000"):
+    def metrics(s, d):
         ix = documents_index(s, d)
         runs = None
         for i, t in enumerate(("query", "segment", "facet")):
             ranked = q.top(q.search(ix, T(t)), 10).select(F.lit(i).cast("long").alias("query_id"), "doc_id", F.expr("row_number() over (order by score desc, doc_id)").alias("rank"))
             runs = ranked if runs is None else runs.unionByName(ranked)
-        judged = s.range(3).withColumnRenamed("id", "query_id").join(F.broadcast(ix.docs.where(judged).select("doc_id")), how="cross").selectExpr("query_id", "doc_id", "cast((doc_id + query_id) % 4 as int) as grade")
+        judged = ix.docs.where("doc_id is not null").selectExpr("doc_id", "explode(array(0L, 1L, 2L)) as query_id").selectExpr("query_id", "doc_id", "cast((doc_id + query_id) % 4 as int) as grade")
         return H.ranking_metrics(runs, judged, 10).select("query_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "rr", "ap", "ndcg")])
 
     run_sql = " UNION ALL ".join(f"SELECT {i} AS query_id, doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT doc_id, {BM25} AS score FROM \"all\" WHERE term = '{t}' ORDER BY score DESC, doc_id LIMIT 10)" for i, t in enumerate(("query", "segment", "facet")))
     metrics_sql = _sql(
-        _cte(), f"run AS ({run_sql})", "j AS (SELECT query_id, doc_id, (doc_id + query_id) % 4 AS grade FROM (SELECT unnest([0, 1, 2]) AS query_id) CROSS JOIN (SELECT doc_id FROM documents WHERE doc_id < 2000))",
+        _cte(), f"run AS ({run_sql})", "j AS (SELECT query_id, doc_id, (doc_id + query_id) % 4 AS grade FROM (SELECT unnest([0, 1, 2]) AS query_id) CROSS JOIN (SELECT doc_id FROM documents))",
         "r AS (SELECT run.*, coalesce(grade, 0) AS g, sum(CASE WHEN grade > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY run.query_id ORDER BY rank) AS hits FROM run LEFT JOIN j USING (query_id, doc_id))",
         "a AS (SELECT query_id, count(*) FILTER (g > 0) AS rel, min(rank) FILTER (g > 0) AS first, sum(CASE WHEN g > 0 THEN hits / rank ELSE 0 END) AS ap, sum((pow(2, g) - 1) / log2(rank + 1)) AS dcg FROM r GROUP BY query_id)",
         "b AS (SELECT query_id, count(*) AS every, sum(CASE WHEN rk <= 10 THEN (pow(2, grade) - 1) / log2(rk + 1) ELSE 0 END) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS rk FROM j WHERE grade > 0) GROUP BY query_id)",
         out="SELECT query_id::BIGINT AS query_id, round(rel / 10, 6) AS precision, round(rel / every, 6) AS recall, round(coalesce(1.0 / first, 0), 6) AS rr, round(ap / every, 6) AS ap, round(dcg / idcg, 6) AS ndcg FROM a JOIN b USING (query_id)")
     reg.add("rank_metrics", metrics, metrics_sql)
-    # every document judged, so that the figures don't change their meaning with the size of the input
-    reg.add("rank_metrics_all", lambda s, d: metrics(s, d, "true"), metrics_sql.replace(" WHERE doc_id < 2000", ""))
-
-
-MATCH_WIKI = q.FunctionScore(q.points("parent_id", [10, 20, 30, 40]), lambda c: c("doc_id"), "replace")

@@ -13,6 +13,7 @@ documents, the mean length too; a document without tokens has length 0.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -117,3 +118,24 @@ def open_index(spark: SparkSession, path: str) -> Index:
     n = docs.where("doc_id is not null").count()
     sums = term_stats.groupBy("field").agg(F.sum("cf").alias("cf")).collect()  # a row for each field
     return Index(docs, postings, term_stats, {r.field: FieldStats(n, r.cf) for r in sums})
+
+
+def combined(indexes: list[Index], apart: bool = True) -> Index:
+    """Several indexes as one, with the statistics of all: document frequencies, lengths and counts are global.
+
+    apart: their ids may clash, so each index's ids are moved behind those of the ones before it; ``index_no`` and
+    ``local_id`` of the documents say where they come from. Otherwise ids are unique already and stay.
+    """
+    docs, postings, base = [], [], 0
+    for i, x in enumerate(indexes):
+        move = F.col("doc_id") + base
+        docs.append(x.docs.withColumns({"index_no": F.lit(i), "local_id": F.col("doc_id"), "doc_id": move}))
+        postings.append(x.postings.withColumn("doc_id", move))
+        if apart:
+            base += (x.docs.agg(F.max("doc_id")).first()[0] or 0) + 1
+    stats = reduce(DataFrame.unionByName, [x.term_stats for x in indexes]).groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    names = {n for x in indexes for n in x.stats}
+    n_docs = sum(max([f.n_docs for f in x.stats.values()], default=0) for x in indexes)
+    totals = {n: FieldStats(n_docs, sum(x.field(n).sum_len for x in indexes)) for n in names}
+    sources = {k: v for x in reversed(indexes) for k, v in x.sources.items()}
+    return Index(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), docs), reduce(DataFrame.unionByName, postings), stats, totals, sources)

@@ -113,6 +113,12 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes below a path."""
+    fs, p, _ = _fs(spark, path)
+    return fs.getContentSummary(p).getLength()
+
+
 def is_file(spark: SparkSession, path: str) -> bool:
     fs, p, _ = _fs(spark, path)
     return fs.exists(p) and fs.getFileStatus(p).isFile()

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.sources import shared
+from corpusloom.sources.merging import Policy
 
 
 class Conflict(RuntimeError):
@@ -123,13 +124,30 @@ class DocumentStore:
         new["data"], new["tombstones"] = new["data"][len(state["data"]) :], []
         return self.commit(new)
 
+    def merge(self, policy: Policy) -> list[list[str]]:
+        """Rewrite the groups of folders that a policy chooses into one folder each; gives the groups."""
+        groups = policy([(p, shared.size(self.spark, p)) for _, p in self.manifest()["data"]])
+        for group in groups:
+            state = self.manifest()
+            new = self.prepare(self.read(only=set(group)))
+            new["data"] = [x for x in new["data"] if x[1] not in group]
+            oldest = min(v for v, _ in new["data"])
+            # a tombstone is done with once no folder is older than it
+            new["tombstones"] = [t for t in state["tombstones"] if t[0] > oldest]
+            self.commit(new)
+        return groups
+
     # reading
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The live documents of a version (the current one by default)."""
+    def read(self, version: int | None = None, only: set[str] | None = None) -> DataFrame:
+        """The live documents of a version (the current one by default), or those of some of its folders."""
         state = self.manifest(version)
+        if only is not None:
+            state["data"] = [x for x in state["data"] if x[1] in only]
         if not state["data"]:
             raise FileNotFoundError(f"{self.root} holds no documents")
+        if not state["tombstones"]:  # no version rules to follow: all folders are one scan
+            return self.spark.read.option("mergeSchema", "true").parquet(*[p for _, p in state["data"]])
         parts = [self.spark.read.parquet(p).withColumn("_v", F.lit(v)) for v, p in state["data"]]
         rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
         if state["tombstones"]:
