@@ -70,6 +70,30 @@ def test_one_log_over_all_indexes(make, rows):
     assert rows(changes.log_watermark(make(more, reqs)[0], closed=True)) == [(16,)]
 
 
+def test_end_record_settles_gaps_up_to_its_number_only(spark, rows):
+    numbers = spark.createDataFrame([(n,) for n in (2, 4, 20, 22, 40, 42)], "n long")
+    mark = lambda end, block=1 << 20: rows(changes.contiguous_watermark(numbers, [], "n", 2, block, end=spark.createDataFrame([(end,)], "settled long")))
+    want = {None: 4, 1: 4, 10: 10, 18: 22, 20: 22, 22: 22, 30: 30, 38: 42, 42: 42}
+    assert {end: mark(end)[0][0] for end in want} == want
+    assert {end: mark(end, 8)[0][0] for end in want} == want
+
+
+def test_closed_log_takes_the_steps_of_the_open_one(make, rows, monkeypatch):
+    reqs = [("r", "i", None, None, ""), ("s", "i", None, None, "")]
+    ops = [op(1, doc="x", seq=2), op(2, doc="y", seq=6, ordinal=2), op(3, doc="z", seq=20, req="s")]  # ordinal 1 is missing, and 8 to 18
+    made = make(ops, reqs)
+    assert rows(changes.replay(*made, closed=False)) == []
+    assert rows(changes.replay(*made)) == [("i", "x", 2), ("i", "y", 6), ("i", "z", 20)]
+    # without its end record, gaps and incomplete transactions hold the closed log as they do the open one
+    with monkeypatch.context() as m:
+        m.setattr(changes, "end_record", lambda ops: ops.selectExpr("cast(null as long) as settled").limit(1), raising=False)
+        assert rows(changes.replay(*made)) == []
+    # a record of an earlier end settles the transaction below it; the gap behind it holds
+    with monkeypatch.context() as m:
+        m.setattr(changes, "end_record", lambda ops: ops.selectExpr("6L as settled").limit(1), raising=False)
+        assert rows(changes.replay(*made)) == [("i", "x", 2), ("i", "y", 6)]
+
+
 def test_copies_above_the_watermark_wait(make, rows):
     ops = [op(1, seq=2), op(2, doc="x", seq=4, ordinal=1, payload="{", key="k"), op(3, doc="x", seq=90, ordinal=1, key="k")]
     assert rows(changes.replay(*make(ops), closed=False)) == [("i", "d", 2)]
