@@ -118,8 +118,15 @@ def each(fn: Callable[[Column], Column]) -> Tokens:
     return lambda tokens: F.transform(tokens, fn)
 
 
+def reverse_characters(token: Column) -> Column:
+    """Characters as a reader sees them in reverse: what belongs to one (marks, the parts of a syllable) keeps its order."""
+    characters = F.regexp_extract_all(token, F.lit(r"(\X)"), F.lit(1))
+    ascii_only = F.octet_length(token) == F.length(token)
+    return F.when(ascii_only, F.reverse(token)).otherwise(F.array_join(F.reverse(characters), ""))
+
+
 lowercase = each(F.lower)
-reverse = each(F.reverse)
+reverse = each(reverse_characters)
 
 
 def stop(stop_words: Sequence[str] = STOP_WORDS) -> Tokens:

@@ -26,6 +26,17 @@ def test_accents_of_texts_are_folded(terms):
     assert terms("filter_accent_fold_text", "Café déjà", "cafe") == {"Cafe": 1, "deja": 1, "cafe": 1}
 
 
+def test_reversed_tokens_keep_what_is_one_character(terms, spark):
+    import duckdb
+
+    from corpusloom.functions import analysis as an
+
+    assert terms("filter_reverse_text", "คำค abc", "น้ำ", None) == {"คคำ": 1, "cba": 1, "น": 1, "ำ": 1}  # the tone mark between isn't part of a word
+    tokens = ["", "abc", "a\r\nb", "คำค", "ກຳກ", "น้ำใจ", "한글", "\u1112\u1161\u11ab\u1100\u1173\u11af", "e\u0301a", "𝒳y", "ｶﾞｷ", "👩\u200d🔬x"]
+    got = spark.createDataFrame([([*tokens, None],)], "t array<string>").select(an.reverse(F.col("t"))).first()[0]
+    assert got == [*(duckdb.execute("SELECT reverse(?)", [x]).fetchone()[0] for x in tokens), None]
+
+
 def test_shingles_and_common_grams_of_texts(terms):
     assert terms("filter_shingle_text", "a B c", "") == Counter(["a", "b", "c", "a b", "b c", "a b c"])
     assert terms("filter_common_grams_text", "a Plain query here", None) == Counter(["a", "plain_query", "plain", "query", "here"])
