@@ -16,6 +16,12 @@ from pyspark.sql import functions as F
 
 Tokens = Callable[[Column], Column]
 
+
+def once(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is computed once; named within a lambda, it would be computed again for each element."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 # --- fixed values ---
 STOP_WORDS = (
     "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with"
@@ -257,7 +263,7 @@ def rejoin_hyphenated(tokens: Column) -> Column:
 
 
 def shingles(lo: int = 2, hi: int = 2, unigrams: bool = True, sep: str = " ") -> Tokens:
-    """All tokens first, then the shingles of each size."""
+    """All tokens first, then the shingles of each size. To count them, see ``windows``."""
 
     def of_size(tokens: Column, n: int) -> Column:
         starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
@@ -269,7 +275,16 @@ def shingles(lo: int = 2, hi: int = 2, unigrams: bool = True, sep: str = " ") ->
             parts.append(of_size(tokens, n))
         return F.concat(*parts)
 
-    return out
+    return lambda tokens: once(tokens, out)
+
+
+def windows(n: int, sep: str = " ") -> Tokens:
+    """Each token with the n - 1 behind it, fewer at the end. Their beginnings are all shingles of up to n tokens."""
+
+    def out(tokens: Column) -> Column:
+        return F.transform(tokens, lambda t, i: F.array_join(F.slice(tokens, i + 1, F.lit(n)), sep))
+
+    return lambda tokens: once(tokens, out)
 
 
 def common_grams(common: Sequence[str], sep: str = "_") -> Tokens:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import analysis as an
@@ -28,6 +31,24 @@ def _by_term(term: str, tokens: str, keep: str = "TRUE") -> str:
     )
 
 
+def _shingle_counts(tokens: Column, most: int) -> Callable[[DataFrame], DataFrame]:
+    """Counts of shingles of 1 to most tokens, which hold no space.
+
+    Windows of most tokens are counted first. That settles the longest shingles; the shorter ones are beginnings of
+    distinct windows. Both read one shuffle: an explosion stays above the aggregation, where a filter would move below it.
+    """
+
+    def count(rows: DataFrame) -> DataFrame:
+        found = rows.select(F.explode(an.windows(most)(tokens)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+        parts = F.split("w", " ")
+        full = F.filter(F.array("w"), lambda w: F.size(F.split(w, " ")) == most)
+        begun = an.once(parts, lambda p: F.transform(F.sequence(F.lit(1), F.least(F.size(p), F.lit(most - 1))), lambda i: F.array_join(F.slice(p, F.lit(1), i), " ")))
+        shorter = found.select(F.explode(begun).alias("term"), "n").groupBy("term").agg(F.sum("n").alias("n"))
+        return found.select(F.explode(full).alias("term"), "n").unionByName(shorter)
+
+    return count
+
+
 def _suffixes_sql(word: str, steps, guard: int, fold=None, drop_last: str = "", drop_above: int = 2, shortest: int = 3) -> str:
     """A suffix stemmer in SQL: in each step the first ending of the list that fits is replaced."""
     out = word
@@ -71,15 +92,17 @@ def _language_sql(code: str) -> str | None:
 def register(reg: Registry) -> None:
     """Add this module's queries."""
 
-    def add(name, analyse, tokens, column="title", source=None):
-        """Terms of a column with their counts."""
+    def add(name, analyse, tokens, column="title", source=None, counts=None):
+        """Terms of a column with their counts; counts makes them of rows and the column if terms are too many to be exploded."""
 
         def run(s, d):
             rows = table(s, d, "documents") if source is None else source(table(s, d, "documents"))
+            if counts is not None:
+                return counts(F.coalesce(F.col(column), F.lit("")))(rows)
             return rows.select(F.explode(analyse(F.coalesce(F.col(column), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
         if column == "title" or name == "tok_ngram":  # the same over whole texts
-            add(f"{name}_text", analyse, None if tokens is None or name in _SLOW else tokens.replace(column, "text").replace("\\S+", "[^\\s\\x0b]+"), "text")
+            add(f"{name}_text", analyse, None if tokens is None or name in _SLOW else tokens.replace(column, "text").replace("\\S+", "[^\\s\\x0b]+"), "text", counts=counts)
         reg.add(name, run, None if tokens is None else _counted(tokens) if tokens.strip().startswith(("list", "regexp", "string", "flatten", "[", "CASE")) else tokens)
 
     low = f"list_transform({_WORDS}, lambda x: lower(x))"
@@ -117,7 +140,8 @@ def register(reg: Registry) -> None:
     add("filter_decimal_digits", an.analyser(an.words, an.of_type(["number"]), an.decimal_digits), "list_transform(list_filter(" + _TEXT_WORDS + ", lambda x: regexp_full_match(x, '\\p{Nd}+')), lambda x: translate(x, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹०१२३४५६७८९০১২৩৪৫৬৭৮৯๐๑๒๓๔๕๖๗๘๙０１２３４５６７８９', '012345678901234567890123456789012345678901234567890123456789'))", "text")
     add("filter_elision", an.analyser(an.whitespace, an.elision()), "list_transform(regexp_extract_all(coalesce(text, ''), '[^\\s\\x0b]+'), lambda x: regexp_replace(x, '^(?i:" + "|".join(an.ARTICLES) + ")[''’](.)', '\\1'))", "text")
     add("filter_classic", an.analyser(an.whitespace, an.classic), "list_transform(list_transform(regexp_extract_all(coalesce(text, ''), '[^\\s\\x0b]+'), lambda x: regexp_replace(x, '(?:[''’][sS]|[''’])$', '')), lambda b: CASE WHEN regexp_full_match(b, '(?:\\p{L}\\.)+\\p{L}?') AND length(b) >= 2 THEN replace(b, '.', '') ELSE b END)", "text")
-    add("filter_shingle", an.analyser(an.words, an.lowercase, an.shingles(2, 3)), f"list_concat({low}, list_concat(list_transform(range(1, len({low})), lambda i: array_to_string({low}[i:i+1], ' ')), list_transform(range(1, greatest(len({low}) - 1, 1)), lambda i: array_to_string({low}[i:i+2], ' '))))")
+    add("filter_shingle", an.analyser(an.words, an.lowercase, an.shingles(2, 3)), f"list_concat({low}, list_concat(list_transform(range(1, len({low})), lambda i: array_to_string({low}[i:i+1], ' ')), list_transform(range(1, greatest(len({low}) - 1, 1)), lambda i: array_to_string({low}[i:i+2], ' '))))",
+        counts=lambda text: _shingle_counts(an.analyser(an.words, an.lowercase)(text), 3))
     pairs = f"list_transform(list_filter(range(1, len({low})), lambda i: list_contains({_COMMON}, {low}[i]) AND list_contains({_COMMON}, {low}[i+1])), lambda i: concat({low}[i], '_', {low}[i+1]))"
     add("filter_common_grams", an.analyser(an.words, an.lowercase, an.common_grams(_COMMON)), f"list_concat({low}, {pairs})")
     add("filter_synonyms", an.analyser(an.words, an.lowercase, an.synonyms({"ledger": ["book", "register"], "plain": ["simple"]})),

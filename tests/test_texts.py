@@ -1,3 +1,4 @@
+import time
 from collections import Counter
 
 import pytest
@@ -42,6 +43,15 @@ def test_shingles_and_common_grams_of_texts(terms):
     assert terms("filter_common_grams_text", "a Plain query here", None) == Counter(["a", "plain_query", "plain", "query", "here"])
 
 
+def test_shingles_of_a_long_text_are_made_in_one_pass(terms):
+    words = [f"W{i * i % 997}" for i in range(30_000)]
+    low = [w.lower() for w in words]
+    expected = Counter(" ".join(low[i : i + n]) for n in (1, 2, 3) for i in range(len(low) - n + 1))
+    began = time.monotonic()
+    assert terms("filter_shingle_text", " ".join(words), "one", "two words", "Ä ß, Two", None, "") == expected + Counter(["one", "two", "words", "two words", "ä", "ß", "two", "ä ß", "ß two", "ä ß two"])
+    assert time.monotonic() - began < 60  # minutes if the text is cut into words again for each word
+
+
 def test_english_arabic_and_unknown_languages(spark):
     from corpusloom.functions.languages import language_analyser
 
