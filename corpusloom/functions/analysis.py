@@ -77,15 +77,46 @@ def _positions(word: Column) -> Column:
     return F.when(F.length(word) > 0, F.sequence(F.lit(1), F.length(word))).otherwise(F.array().cast("array<int>"))
 
 
+def _grams_of_characters(text: Column, lo: int, hi: int, starts: Column) -> Column:
+    """The same of a text of any length: it is cut into characters once, as a place in a string is found by counting."""
+    sizes = F.array(*[F.lit(n) for n in range(lo, hi + 1)])
+
+    def out(chars: Column) -> Column:
+        return F.flatten(F.transform(starts, lambda i: F.transform(F.filter(sizes, lambda n: i + n - 1 <= F.size(chars)), lambda n: F.array_join(F.slice(chars, i, n), ""))))
+
+    return once(F.split(text, ""), out)
+
+
 def ngrams(lo: int, hi: int, split: bool = False) -> Tokens:
-    """For each start, the grams of lo to hi characters; of each word by itself if split."""
+    """For each start, the grams of lo to hi characters; of each word by itself if split. To count them, see ``gram_pieces``."""
 
     def one(word: Column) -> Column:
-        return _grams(word, lo, hi, _positions(word))
+        return once(word, lambda w: _grams_of_characters(w, lo, hi, _positions(w)))
 
     return (lambda text: F.flatten(F.transform(whitespace(text), one))) if split else one
 
 
+def gram_pieces(hi: int) -> Tokens:
+    """Pieces of a text, a word or part of one mostly, each with the characters behind it that grams of up to hi reach.
+
+    Each is a structure of the piece and the number of places in it where grams begin, so every gram of the text begins
+    in one piece. A piece is short even if a text has no spaces.
+    """
+    ahead = max(hi - 1, 1)
+    parts = by_pattern(rf"(?s).{{{ahead}}}\S{{0,16}}\s?|.+")  # only the last has fewer than `ahead` characters
+
+    def out(cut: Column) -> Column:
+        behind = lambda i: F.left(F.coalesce(F.get(cut, i + 1), F.lit("")), F.lit(hi - 1))
+        return F.transform(cut, lambda c, i: F.struct(F.concat(c, behind(i)).alias("piece"), F.length(c).alias("starts")))
+
+    return lambda text: once(parts(text), out)
+
+
+def piece_grams(piece: Column, starts: Column, lo: int, hi: int) -> Column:
+    """The grams that begin in a piece."""
+    return _grams_of_characters(piece, lo, hi, F.sequence(F.lit(1), starts))
+
+
 def edge_ngrams(lo: int, hi: int) -> Tokens:
     """Prefixes of each word."""
     return lambda text: F.flatten(F.transform(whitespace(text), lambda w: _grams(w, lo, hi, F.array(F.lit(1)))))

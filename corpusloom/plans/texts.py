@@ -49,6 +49,16 @@ def _shingle_counts(tokens: Column, most: int) -> Callable[[DataFrame], DataFram
     return count
 
 
+def _gram_counts(text: Column, lo: int, hi: int) -> Callable[[DataFrame], DataFrame]:
+    """Counts of character grams. Pieces of texts are counted first, which are fewer and repeat; only distinct ones are cut into grams."""
+
+    def count(rows: DataFrame) -> DataFrame:
+        pieces = rows.select(F.inline(an.gram_pieces(hi)(text))).groupBy("piece", "starts").agg(F.count("*").alias("n"))
+        return pieces.select(F.explode(an.piece_grams(F.col("piece"), F.col("starts"), lo, hi)).alias("term"), "n").groupBy("term").agg(F.sum("n").alias("n"))
+
+    return count
+
+
 def _suffixes_sql(word: str, steps, guard: int, fold=None, drop_last: str = "", drop_above: int = 2, shortest: int = 3) -> str:
     """A suffix stemmer in SQL: in each step the first ending of the list that fits is replaced."""
     out = word
@@ -111,7 +121,7 @@ def register(reg: Registry) -> None:
     add("tok_whitespace", an.whitespace, "regexp_extract_all(coalesce(title, ''), '\\S+')")
     add("tok_keyword", an.keyword, "[coalesce(source, '')]", "source")
     add("tok_pattern", an.by_pattern(r"[a-z]{3}"), "regexp_extract_all(coalesce(title, ''), '[a-z]{3}')")
-    add("tok_ngram", an.ngrams(2, 3), "flatten(list_transform(range(1, length(coalesce(source, '')) + 1), lambda i: list_transform(list_filter([2, 3], lambda n: i + n - 1 <= length(source)), lambda n: substr(source, i, n))))", "source")
+    add("tok_ngram", an.ngrams(2, 3), "flatten(list_transform(range(1, length(coalesce(source, '')) + 1), lambda i: list_transform(list_filter([2, 3], lambda n: i + n - 1 <= length(source)), lambda n: substr(source, i, n))))", "source", counts=lambda text: _gram_counts(text, 2, 3))
     add("tok_edge_ngram", an.edge_ngrams(2, 4), "flatten(list_transform(regexp_extract_all(coalesce(title, ''), '\\S+'), lambda w: list_transform(list_filter([2, 3, 4], lambda n: n <= length(w)), lambda n: substr(w, 1, n))))")
     path = "replace(coalesce(source, ''), '_', '/')"
     parts = f"string_split({path}, '/')"

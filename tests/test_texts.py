@@ -52,6 +52,28 @@ def test_shingles_of_a_long_text_are_made_in_one_pass(terms):
     assert time.monotonic() - began < 60  # minutes if the text is cut into words again for each word
 
 
+def test_grams_of_long_texts_are_made_in_one_pass(terms, spark):
+    from corpusloom.functions import analysis as an
+
+    texts = ["x" * 70 + "日本語" * 60_000, "".join(f"w{i * i % 997} \n"[: 3 + i % 4] for i in range(60_000)), "a", "ab", "ab ", "abc", " a", "\r\n\u0085\u2028𝒳👩\u200d🔬e\u0301x", "", None]
+    grams = lambda t: [t[i : i + n] for i in range(len(t)) for n in (2, 3) if i + n <= len(t)]
+    began = time.monotonic()
+    assert terms("tok_ngram_text", *texts) == Counter(g for t in texts for g in grams(t or ""))
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", an.ngrams(2, 3)(F.col("t")).alias("g")).collect()
+    assert all(r.g == grams(r.t or "") for r in got)
+    assert time.monotonic() - began < 60  # minutes if each place of a text is counted from its start
+
+
+@pytest.mark.parametrize("lo, hi", [(1, 1), (1, 2), (2, 2), (3, 5)])
+def test_grams_of_pieces_are_those_of_the_text(spark, lo, hi):
+    from corpusloom.functions import analysis as an
+
+    texts = ["", "a", "ab", "a b", "abc de", "one two, three\n\nfour", "z" * 100, "a  b   c    d"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(an.ngrams(lo, hi)(F.col("t")).alias("whole"), an.gram_pieces(hi)(F.col("t")).alias("p"))
+    for r in df.select("whole", F.flatten(F.transform("p", lambda p: an.piece_grams(p["piece"], p["starts"], lo, hi))).alias("pieces")).collect():
+        assert r.pieces == r.whole
+
+
 def test_english_arabic_and_unknown_languages(spark):
     from corpusloom.functions.languages import language_analyser
 
